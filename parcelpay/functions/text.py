@@ -9,7 +9,7 @@ DISPATCHER_PREFIXES = ("JMR", "ECP", "AF", "PEN", "KUL", "JHR")
 
 _PREFIX_GROUP = "|".join(DISPATCHER_PREFIXES)
 _NULL_WORD = f"r'(?i)^(?:{'|'.join(NULL_WORDS)})$'"
-_SCIENTIFIC = r"r'^[+-]?\d+(\.\d+)?[eE][+-]?\d+$'"
+_SCIENTIFIC = r"r'^\s*[+-]?\d++(\.\d++)?[eE][+-]?\d+\s*$'"
 
 
 def strip(x: str) -> str:
@@ -53,12 +53,13 @@ def waybill(x: str) -> str:
     float they came from, and nothing restores those.
     """
     text = rf"regexp_replace({not_blank(strip(x))}, r'^(\d+)\.0$', '$1')"
-    number = f"try_cast({text} AS double)"
+    number = f"try_cast({strip(x)} AS double)"
+    # The test runs on the bare cell, so that usual waybills are cleaned once and nothing else.
     written_out = (
-        f"CASE WHEN {number} = floor({number}) AND abs({number}) < 1e37D "
+        f"CASE WHEN {x} RLIKE {_SCIENTIFIC} AND {number} = floor({number}) AND abs({number}) < 1e37D "
         f"THEN cast(try_cast({number} AS decimal(38,0)) AS string) END"
     )
-    return f"CASE WHEN {text} RLIKE {_SCIENTIFIC} THEN coalesce({written_out}, {text}) ELSE {text} END"
+    return f"coalesce({written_out}, {text})"
 
 
 def dispatcher_name(x: str, require_delimiter: bool = False) -> str:

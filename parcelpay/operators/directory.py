@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelpay.operators.unions import union_all
 from parcelpay.sources.sheets import PENALTY_SHEETS
 from parcelpay.sources.workbook import Workbook
 
@@ -34,7 +33,7 @@ def mentions(book: Workbook) -> DataFrame:
                 F.lit(_PRIORITY.get(name, 2)).alias("priority"),
             )
         )
-    return reduce(DataFrame.unionByName, parts).distinct()
+    return union_all(parts).distinct()
 
 
 def directory(book: Workbook) -> DataFrame:
@@ -69,4 +68,4 @@ def all_dispatchers(book: Workbook) -> DataFrame:
     parts = [
         sheet.select("dispatcher_key").where("dispatcher_key IS NOT NULL") for sheet in book.sheets.values()
     ]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    return union_all(parts).distinct()

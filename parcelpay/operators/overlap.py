@@ -2,30 +2,24 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelpay.operators.unions import union_all
+
 PAIR = ["dispatcher_key", "waybill"]
 
 # Rows without a key never match. They still have to land somewhere in the shuffle, so each gets a
-# stand-in value out of this many instead of all of them meeting in the one partition of NULL.
-_STAND_INS = 4096
-# No canonical key or waybill can start with this character.
-_STAND_IN_MARK = "\x00"
-
-
-def _spread_nulls(df: DataFrame, column: str) -> Column:
-    others = [c for c in df.columns if c != column] or [column]
-    stand_in = F.concat(F.lit(_STAND_IN_MARK), F.pmod(F.xxhash64(*others), F.lit(_STAND_INS)).cast("string"))
-    return F.coalesce(F.col(column), stand_in)
+# stand-in by dispatcher, waybill and date instead of all meeting in the one partition of NULL.
+# No canonical key or waybill starts with a blank, so a stand-in matches nothing.
+def _spread_nulls(df: DataFrame, column: str) -> str:
+    others = [c for c in ("dispatcher_key", "waybill", "event_ts") if c in df.columns]
+    return f"coalesce({column}, concat(' ', pmod(xxhash64({', '.join(others)}), 65536)))"
 
 
 def distinct_keys(sheet: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct non-blank keys. Copies of a hot key collapse before the shuffle."""
-    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
-    return sheet.where(present).select(*columns).distinct()
+    return sheet.where(" AND ".join(f"{c} IS NOT NULL" for c in columns)).select(*columns).distinct()
 
 
 def _join(rows: DataFrame, keys: DataFrame, columns: list[str], how: str) -> DataFrame:
@@ -36,8 +30,8 @@ def _join(rows: DataFrame, keys: DataFrame, columns: list[str], how: str) -> Dat
     that may be split where a partition is skewed.
     """
     names = [f"__match_{c}" for c in columns]
-    left = rows.select("*", *[_spread_nulls(rows, c).alias(n) for c, n in zip(columns, names)])
-    right = keys.select(*[F.col(c).alias(n) for c, n in zip(columns, names)])
+    left = rows.selectExpr("*", *[f"{_spread_nulls(rows, c)} AS {n}" for c, n in zip(columns, names)])
+    right = keys.selectExpr(*[f"{c} AS {n}" for c, n in zip(columns, names)])
     if how == "left":
         right = right.withColumn("__matched", F.lit(True))
     return left.join(right, names, how)
@@ -59,7 +53,7 @@ def exclude_pairs(dispatch: DataFrame, *sheets: DataFrame, preserve: DataFrame |
     ``preserve`` holds waybills that stay even when a sheet lists them. Several sheets cost one
     join, because their pairs are united first.
     """
-    pairs = distinct_keys(reduce(DataFrame.unionByName, [s.select(*PAIR) for s in sheets]), PAIR)
+    pairs = distinct_keys(union_all([s.select(*PAIR) for s in sheets]), PAIR)
     if preserve is not None:
         pairs = _anti_join(pairs, distinct_keys(preserve, ["waybill"]), ["waybill"])
     return _anti_join(dispatch, pairs, PAIR)

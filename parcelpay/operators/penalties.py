@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from decimal import Decimal
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from parcelpay.config import Rules
 from parcelpay.functions.numbers import MONEY, PARSED, round_money
 from parcelpay.functions.sql import case, literal, literals
 from parcelpay.operators.ranking import split_pool
+from parcelpay.operators.unions import union_all
 from parcelpay.sources.workbook import Workbook
 
 STATEMENT = "statement"
@@ -130,7 +129,7 @@ def ledger(book: Workbook, rules: Rules, profile: str = STATEMENT, kinds: tuple[
         for r in kind_rules(book, rules, profile)
         if r.kind in kinds
     ]
-    return reduce(DataFrame.unionByName, parts) if parts else empty_ledger(book)
+    return union_all(parts) if parts else empty_ledger(book)
 
 
 def _per_kind(rules: list[KindRule], value) -> str:

@@ -44,7 +44,8 @@ def ordinal_positions(ids: DataFrame, column: str) -> DataFrame:
     )
     within = F.row_number().over(Window.partitionBy(full).orderBy(key)) - 1
     return (
-        ids.select(key, within.alias("within"), F.explode(levels).alias("p"))
+        ids.select(key, within.alias("within"))
+        .select(key, "within", F.explode(levels).alias("p"))
         .select(key, "within", "p.level", "p.prefix")
         .join(offsets, ["level", "prefix"])
         .groupBy(column)

@@ -19,9 +19,14 @@ EARNINGS = ("dispatch_payout", "pickup_payout", "return_payout", "bulky_payout",
 DEDUCTIONS = ("penalty_amount", "rental", "socso_deduction", "overpaid_deduction")
 
 
-def fleet_summary(book: Workbook, rules: Rules) -> DataFrame:
-    """One row per dispatcher known to any sheet."""
-    net = net_dispatch(book["dispatch"], book["return"], book["pickup"], book["bulky"])
+def fleet_summary(book: Workbook, rules: Rules, net: DataFrame | None = None) -> DataFrame:
+    """One row per dispatcher known to any sheet.
+
+    ``net`` is the net dispatch if the caller has it stored. It pays off with the route penalty,
+    which reads the delivering dispatchers before it can split the pool.
+    """
+    if net is None:
+        net = net_dispatch(book["dispatch"], book["return"], book["pickup"], book["bulky"])
     pickup, returned, bulky = extras.countable(book["pickup"]), extras.countable(book["return"]), book["bulky"]
     weight = "weight" if "weight" in net.columns else "cast(NULL AS double)"
     parts = [

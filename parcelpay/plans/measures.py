@@ -8,13 +8,12 @@ joins are needed.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelpay.functions.numbers import MONEY, PARSED
 from parcelpay.functions.sql import literals
+from parcelpay.operators.unions import union_all
 
 SEEN = "seen"
 
@@ -46,7 +45,7 @@ def totalled(parts: list[DataFrame]) -> DataFrame:
     """Sums per dispatcher, measure and name. Names are grouping keys here: a text minimum over
     the facts would turn the hash aggregation into a sort."""
     return (
-        reduce(DataFrame.unionByName, parts)
+        union_all(parts)
         .groupBy("dispatcher_key", "measure", "dispatcher_name")
         .agg(
             F.expr("count(1) AS rows"),

@@ -14,19 +14,23 @@ from parcelpay.plans import measures as M
 from parcelpay.sources.workbook import Workbook
 
 
-def paid_days(book: Workbook, rules: Rules, count: str = "rows") -> DataFrame:
-    """Daily pay of all dispatchers after the overlap exclusions, bulky rows included."""
-    net = net_dispatch(book["dispatch"], book["return"], book["pickup"], book["bulky"])
+def paid_days(book: Workbook, rules: Rules, count: str = "rows", net: DataFrame | None = None) -> DataFrame:
+    """Daily pay of all dispatchers after the overlap exclusions, bulky rows included.
+
+    ``net`` is the net dispatch if the caller has it stored.
+    """
+    if net is None:
+        net = net_dispatch(book["dispatch"], book["return"], book["pickup"], book["bulky"])
     return delivery.tiered_daily_pay(delivery.daily_parcels(net, book["bulky"], count), rules)
 
 
-def statement(book: Workbook, rules: Rules, count: str = "rows") -> DataFrame:
+def statement(book: Workbook, rules: Rules, count: str = "rows", net: DataFrame | None = None) -> DataFrame:
     """One row per dispatcher known to any sheet."""
     pickup, returned = extras.countable(book["pickup"]), extras.countable(book["return"])
     parts = [
         M.constant(book["dispatch"], M.SEEN),
         M.entries(
-            paid_days(book, rules, count),
+            paid_days(book, rules, count, net),
             "CASE WHEN special_rate IS NULL THEN 'day' ELSE 'special_day' END",
             quantity="daily_parcels",
             amount="payout_per_day",

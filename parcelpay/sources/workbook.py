@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from datetime import date
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelpay.operators.period import filter_period
+from parcelpay.operators.unions import union_all
 from parcelpay.sources.guards import looks_like_dispatch, without_dispatch_copy
 from parcelpay.sources.sheets import SHEETS, canonicalize, empty_sheet, missing_columns
 
@@ -69,4 +68,4 @@ class Workbook:
             for name in SHEETS
             if name != "dispatch"
         ]
-        return reduce(DataFrame.unionByName, parts)
+        return union_all(parts)

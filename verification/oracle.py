@@ -279,7 +279,7 @@ _sql("period_filter_all_sheets", " UNION ALL ".join(
         ("attendance", f"ev WHERE t = 'signup' AND {_EV_IN}"), ("hub", "sup"), ("reward", "sup"),
     )))
 CTE["undated"] = "SELECT k, CASE WHEN k IN ('3', '5', '8') OR w > 30 THEN NULL ELSE ts END ts FROM dispatch"
-CTE["presence"] = f"""SELECT k, count_if({_IN}) inside, count_if(ts IS NULL) undated_rows, count(*) all_rows FROM undated GROUP BY k"""
+CTE["presence"] = f"""SELECT k, coalesce(count_if({_IN}), 0) inside, count_if(ts IS NULL) undated_rows, count(*) all_rows FROM undated GROUP BY k"""
 _sql("null_date_retention", f"""
     SELECT k dispatcher_key, {ROWS}, CAST(count_if(ts IS NULL) AS BIGINT) undated
     FROM (SELECT k, ts FROM undated WHERE {_IN}
@@ -325,7 +325,7 @@ _sql("special_rate_pay", f"""
     SELECT k dispatcher_key, d delivery_date, {_n('n', 'daily_parcels')}, tier, {_d('sr', 'special_rate')},
            {_d('pay', 'payout_per_day')} FROM days WHERE sr IS NOT NULL""")
 _sql("rate_card_pay", f"""
-    SELECT tier, {_n('count(*)', 'days')}, {_d('sum(n * rate)', 'pay')} FROM (
+    SELECT tier, {_n('count(*)', 'AS days')}, {_d('sum(n * rate)', 'pay')} FROM (
       SELECT n, coalesce((SELECT r_name FROM region WHERE r_regionkey = x.hit), 'Unmatched') tier,
              coalesce(CAST(hit * 0.1 + 1 AS DECIMAL(12,4)), 0) rate
       FROM (SELECT n, CASE WHEN d < DATE '1995-06-01' THEN NULL WHEN n = 1 THEN 0 WHEN n = 2 THEN 1 WHEN n >= 3 THEN 2 END hit
