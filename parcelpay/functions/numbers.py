@@ -28,7 +28,7 @@ def money(x: str, kind: T.DataType | None = None) -> str:
     """Money cell as a decimal; blanks, dashes and junk are 0. Not rounded."""
     if is_number(kind):
         return _or_zero(x)
-    return _or_zero(strip(f"regexp_replace({strip(x)}, {CURRENCY_MARKS}, '')"))
+    return _or_zero(strip(f"regexp_replace(cast({x} AS string), {CURRENCY_MARKS}, '')"))
 
 
 def comma_decimal(x: str, kind: T.DataType | None = None) -> str:

@@ -30,7 +30,7 @@ def fleet_summary(book: Workbook, rules: Rules, net: DataFrame | None = None) ->
     pickup, returned, bulky = extras.countable(book["pickup"]), extras.countable(book["return"]), book["bulky"]
     weight = "weight" if "weight" in net.columns else "cast(NULL AS double)"
     parts = [
-        M.constant(book["dispatch"], M.SEEN),
+        M.constant(book["dispatch"].select("dispatcher_key"), M.SEEN),
         M.entries(
             net,
             f"concat('tier', {delivery.weight_tier(weight, rules.weight_tiers)})",

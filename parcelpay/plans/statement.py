@@ -27,8 +27,9 @@ def paid_days(book: Workbook, rules: Rules, count: str = "rows", net: DataFrame
 def statement(book: Workbook, rules: Rules, count: str = "rows", net: DataFrame | None = None) -> DataFrame:
     """One row per dispatcher known to any sheet."""
     pickup, returned = extras.countable(book["pickup"]), extras.countable(book["return"])
+    dispatchers = book["dispatch"].select("dispatcher_key").where("dispatcher_key IS NOT NULL").distinct()
     parts = [
-        M.constant(book["dispatch"], M.SEEN),
+        M.constant(dispatchers, M.SEEN),
         M.entries(
             paid_days(book, rules, count, net),
             "CASE WHEN special_rate IS NULL THEN 'day' ELSE 'special_day' END",
@@ -45,7 +46,6 @@ def statement(book: Workbook, rules: Rules, count: str = "rows", net: DataFrame
         M.penalty_entries(penalties.penalty_totals(book, rules, penalties.STATEMENT)),
     ]
     if rules.route_statement_enabled and rules.route_pool > 0:
-        dispatchers = book["dispatch"].select("dispatcher_key").where("dispatcher_key IS NOT NULL").distinct()
         parts.append(M.penalty_entries(penalties.route_shares(dispatchers, rules)))
     days = ("day", "special_day")
     kinds = [f"penalty:{k}" for k in penalties.KINDS]

@@ -105,18 +105,19 @@ def _share(ids: str) -> str:
                FROM (SELECT k, row_number() OVER (ORDER BY k) - 1 pos, count(*) OVER () n FROM {ids})"""
 
 
-def _wide(pen: str, ids: str) -> str:
+def _wide(pen: str, ids: str | None) -> str:
     kinds = ", ".join(
         f"CAST(coalesce(sum(CASE WHEN kind = '{k}' THEN amount END), 0) AS DECIMAL(18,2)) {k}_penalty" for k in KINDS
     )
+    route = f" UNION ALL SELECT k, 'route', share, 1 FROM share_{ids} WHERE share > 0" if ids else ""
     return f"""SELECT k, {kinds}, CAST(sum(amount) AS DECIMAL(18,2)) pen, CAST(sum(parcels) AS BIGINT) pen_n
-               FROM (SELECT * FROM {pen} UNION ALL SELECT k, 'route', share, 1 FROM share_{ids} WHERE share > 0) GROUP BY k"""
+               FROM (SELECT * FROM {pen}{route}) GROUP BY k"""
 
 
 CTE["share_a"] = _share("ids_a")
 CTE["share_m"] = _share("ids_m")
 CTE["wide_a"] = _wide("pen_a", "a")
-CTE["wide_m"] = _wide("pen_m", "m")
+CTE["wide_m"] = _wide("pen_m", None)
 
 _KIND_LIST = ", ".join(f"coalesce({k}_penalty, 0) {k}_penalty" for k in KINDS)
 
@@ -482,6 +483,11 @@ _sql("fleet_summary", f"""
       {_n('bulky_n', 'bulky_parcels')}, {_d('bulky', 'bulky_payout')}, {_d('reward', 'reward')}, {_d('rental', 'rental')},
       {_KINDS_AS_DOUBLE}, {_d('pen', 'penalty_amount')}, {_n('pen_n', 'penalty_count')}, {_d('socso', 'socso_deduction')},
       {_d('overpaid', 'overpaid_deduction')}, {_d('total', 'total_payout')} FROM fleet""")
+CTE["wide_m"] = _wide("pen_m", "m")
+_sql("fleet_summary_with_route", f"""
+    SELECT k dispatcher_key, {_d('route_penalty', 'route_penalty')}, {_d('pen', 'penalty_amount')}, {_n('pen_n', 'penalty_count')},
+           {_d('total', 'total_payout')} FROM fleet""")
+CTE["wide_m"] = _full["wide_m"]
 _sql("fleet_totals", f"""
     SELECT dispatchers, {_n('delivered', 'parcels_delivered')}, {_n('awb', 'total_awb')}, {_n('pick_n', 'pickup_parcels')},
       {_n('ret_n', 'return_parcels')}, {_n('bulky_n', 'bulky_parcels')}, {_n('pen_n', 'penalty_count')}, {_d('wt', 'total_weight')},

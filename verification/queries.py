@@ -562,6 +562,13 @@ def fleet_summary(spark, d):
     return plain(fleet.fleet_summary(workbook(spark, d), RULES))
 
 
+@query
+def fleet_summary_with_route(spark, d):
+    """The route pool split over the dispatchers that still deliver after the exclusions."""
+    summary = fleet.fleet_summary(workbook(spark, d), RULES.with_(route_fleet_enabled=True))
+    return plain(summary.select("dispatcher_key", "route_penalty", "penalty_amount", "penalty_count", "total_payout"))
+
+
 @query
 def fleet_totals(spark, d):
     return plain(fleet.fleet_totals(fleet.fleet_summary(workbook(spark, d), RULES)))

@@ -35,7 +35,6 @@ RULES = Rules(
     ),
     route_pool=Decimal("1000"),
     route_statement_enabled=True,
-    route_fleet_enabled=True,
 )
 
 # Sheet name -> (table, projection and condition over it).
