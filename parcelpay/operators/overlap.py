@@ -10,10 +10,10 @@ from parcelpay.operators.unions import union_all
 PAIR = ["dispatcher_key", "waybill"]
 
 # Rows without a key never match. They still have to land somewhere in the shuffle, so each gets a
-# stand-in by dispatcher, waybill and date instead of all meeting in the one partition of NULL.
+# stand-in by the rest of the row instead of all meeting in the one partition of NULL.
 # No canonical key or waybill starts with a blank, so a stand-in matches nothing.
 def _spread_nulls(df: DataFrame, column: str) -> str:
-    others = [c for c in ("dispatcher_key", "waybill", "event_ts") if c in df.columns]
+    others = [c for c in ("dispatcher_key", "waybill", "event_ts", "source") if c in df.columns]
     return f"coalesce({column}, concat(' ', pmod(xxhash64({', '.join(others)}), 65536)))"
 
 
@@ -22,28 +22,31 @@ def distinct_keys(sheet: DataFrame, columns: list[str]) -> DataFrame:
     return sheet.where(" AND ".join(f"{c} IS NOT NULL" for c in columns)).select(*columns).distinct()
 
 
-def _join(rows: DataFrame, keys: DataFrame, columns: list[str], how: str) -> DataFrame:
-    """Join with a distinct key set; rows with a blank key match nothing.
+def _join(rows: DataFrame, sheet: DataFrame, columns: list[str], how: str) -> DataFrame:
+    """Join with the distinct keys of a sheet; rows with a blank key match nothing.
 
     No hint: a key set that is small at run time is broadcast by the adaptive planner after its
     size is known. A large one is sorted and merged, and then the fact is the left side, the one
-    that may be split where a partition is skewed.
+    that may be split where a partition is skewed. Spark splits only between plain shuffles, so
+    the keys are made distinct as structs: their aggregation cannot double as the shuffle of the
+    join, and the join gets its own on both sides.
     """
     names = [f"__match_{c}" for c in columns]
     left = rows.selectExpr("*", *[f"{_spread_nulls(rows, c)} AS {n}" for c, n in zip(columns, names)])
-    right = keys.selectExpr(*[f"{c} AS {n}" for c, n in zip(columns, names)])
-    if how == "left":
-        right = right.withColumn("__matched", F.lit(True))
+    present = sheet.where(" AND ".join(f"{c} IS NOT NULL" for c in columns))
+    keys = present.selectExpr(f"struct({', '.join(columns)}) AS key").distinct()
+    matched = ["true AS __matched"] if how == "left" else []
+    right = keys.selectExpr(*[f"key.{c} AS {n}" for c, n in zip(columns, names)], *matched)
     return left.join(right, names, how)
 
 
-def _anti_join(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
-    return _join(rows, keys, columns, "left_anti").select(*rows.columns)
+def _anti_join(rows: DataFrame, sheet: DataFrame, columns: list[str]) -> DataFrame:
+    return _join(rows, sheet, columns, "left_anti").select(*rows.columns)
 
 
 def flag_matches(rows: DataFrame, sheet: DataFrame, columns: list[str], flag: str) -> DataFrame:
     """All rows with a boolean: is the row's key on the sheet?"""
-    joined = _join(rows, distinct_keys(sheet, columns), columns, "left")
+    joined = _join(rows, sheet, columns, "left")
     return joined.select(*rows.columns, F.coalesce("__matched", F.lit(False)).alias(flag))
 
 
@@ -53,15 +56,15 @@ def exclude_pairs(dispatch: DataFrame, *sheets: DataFrame, preserve: DataFrame |
     ``preserve`` holds waybills that stay even when a sheet lists them. Several sheets cost one
     join, because their pairs are united first.
     """
-    pairs = distinct_keys(union_all([s.select(*PAIR) for s in sheets]), PAIR)
+    pairs = union_all([s.select(*PAIR) for s in sheets])
     if preserve is not None:
-        pairs = _anti_join(pairs, distinct_keys(preserve, ["waybill"]), ["waybill"])
+        pairs = _anti_join(pairs, preserve, ["waybill"])
     return _anti_join(dispatch, pairs, PAIR)
 
 
 def exclude_waybills(dispatch: DataFrame, sheet: DataFrame) -> DataFrame:
     """Dispatch rows whose waybill is not on the sheet, whoever the dispatcher is."""
-    return _anti_join(dispatch, distinct_keys(sheet, ["waybill"]), ["waybill"])
+    return _anti_join(dispatch, sheet, ["waybill"])
 
 
 def net_dispatch(dispatch: DataFrame, returned: DataFrame, pickup: DataFrame, bulky: DataFrame) -> DataFrame:

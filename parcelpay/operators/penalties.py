@@ -272,7 +272,15 @@ def penalty_detail(book: Workbook, rules: Rules, profile: str = FLEET) -> DataFr
     A dispatcher whose penalties name no waybill gets one row "n parcels". Dispatchers without
     counted parcels are left out.
     """
-    totals = wide(penalty_totals(book, rules, profile), ()).where("penalty_count > 0")
+    # Grouped by the key as a struct: the join below then shuffles both sides itself and may split
+    # a dispatcher with very many waybills.
+    totals = (
+        penalty_totals(book, rules, profile)
+        .groupBy(F.struct("dispatcher_key").alias("key"))
+        .agg(F.expr(f"cast(sum(amount) AS {MONEY}) AS penalty_amount"), F.expr("sum(parcels) AS penalty_count"))
+        .where("penalty_count > 0")
+        .select("key.dispatcher_key", "penalty_amount", "penalty_count")
+    )
     prices = [r for r in kind_rules(book, rules, profile) if r.parcel_price is not None]
     own = _per_kind(prices, lambda r: literal(r.parcel_price))
     lines = penalty_waybills(ledger(book, rules, profile)).selectExpr(

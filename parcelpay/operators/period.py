@@ -43,16 +43,21 @@ def filter_default_period(df: DataFrame, column: str = "event_ts") -> DataFrame:
 
 
 def dispatcher_presence(dispatch: DataFrame, start: date, end: date) -> DataFrame:
-    """Per dispatcher: rows in the period, rows without a date, all rows. One pass, combined early."""
+    """Per dispatcher: rows in the period, rows without a date, all rows. One pass, combined early.
+
+    Grouped by the key as a struct, so that a join with the result shuffles both sides itself and
+    may split a dispatcher with very many rows.
+    """
     known = F.col("dispatcher_key").isNotNull() & (F.col("dispatcher_key") != "UNKNOWN")
     return (
         dispatch.where(known)
-        .groupBy("dispatcher_key")
+        .groupBy(F.struct("dispatcher_key").alias("key"))
         .agg(
             F.expr(f"count_if({in_days('event_ts', start, end)})").alias("rows_in_period"),
             F.count_if(F.col("event_ts").isNull()).alias("rows_without_date"),
             F.count(F.lit(1)).alias("rows"),
         )
+        .select("key.dispatcher_key", "rows_in_period", "rows_without_date", "rows")
     )
 
 

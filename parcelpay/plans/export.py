@@ -42,7 +42,7 @@ def export_counters(dispatch: DataFrame, returned: DataFrame) -> DataFrame:
     if keyed is None:
         raise ValueError(f"no waybill column on the dispatch sheet; columns: {', '.join(dispatch.columns)}")
     column = H.WAYBILL.find(returned.columns)
-    rows = keyed.select("waybill")
+    rows = keyed.selectExpr("waybill", "xxhash64(source) AS source")
     if other is None:
         flagged, unique = rows.withColumn("returned", F.lit(False)), F.lit(0).cast("bigint")
     else:
