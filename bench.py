@@ -15,6 +15,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from parcelpay.session import configure  # noqa: E402
+
 HEADLINE = (
     "tiered_pay_summary", "net_dispatch_rows", "weight_tier_pay", "penalty_totals", "statement_all", "fleet_summary",
     "export_stats", "daily_payout_trend", "forecast",
@@ -25,11 +27,9 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "2"))
+    builder = configure(SparkSession.builder.master(f"local[{cpus}]").appName("bench"))
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName("bench")
-        .config("spark.sql.shuffle.partitions", cpus)
-        .config("spark.sql.session.timeZone", "UTC")
+        builder.config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -182,3 +182,10 @@ def test_rules_from_dict():
     assert [str(r) for r in rules.weight_tiers.rates] == ["1", "2", "2", "2"]
     assert str(rules.return_rate) == "0.75" and rules.route_statement_enabled
     assert Rules.from_dict({}) == Rules()
+
+
+def test_checkpoint_dir_of_the_session_wins(spark, tmp_path):
+    from parcelpay.session import use_checkpoint_dir
+
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    assert use_checkpoint_dir(spark, str(tmp_path)) == (configured or str(tmp_path))
