@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 # -- sheets as common table expressions: k dispatcher, wb waybill, ts date ----------------------
 
 CTE: dict[str, str] = {
@@ -195,20 +197,14 @@ ORACLE: dict[str, str] = {}
 
 
 def _needed(sql: str) -> list[str]:
-    """CTEs used by a text, dependencies first."""
-    import re
-
+    """CTEs that a text reads, dependencies first."""
     order: list[str] = []
 
     def visit(text: str) -> None:
-        for word in dict.fromkeys(re.findall(r"[a-z_]+", text)):
+        for word in dict.fromkeys(re.findall(r"\b(?:FROM|JOIN)\s+([a-z_]+)", text)):
             if word in CTE and word not in order:
-                if re.search(rf"\b(?:FROM|JOIN|UNION SELECT k FROM)\s+{word}\b", text) or re.search(
-                    rf",\s*{word}\b(?!\s*\()", text
-                ) and f"FROM {word}" in text:
-                    visit(CTE[word])
-                    if word not in order:
-                        order.append(word)
+                visit(CTE[word])
+                order.append(word)
 
     visit(sql)
     return order
