@@ -36,30 +36,32 @@ class PerfectHash:
         self.keys: list[bytes] = [b""] * n
         self.ids = [-1] * n
         self.shift = [0] * self.buckets
-        groups: dict[int, list[tuple[int, bytes]]] = {}
+        groups: dict[int, list[bytes]] = {}
         for key in ranks:
-            h = xxhash.xxh3_128_intdigest(key)
-            groups.setdefault(h % self.buckets, []).append((h >> 32, key))
-        taken = bytearray(n)
+            groups.setdefault(xxhash.xxh3_64_intdigest(key) % self.buckets, []).append(key)
+        taken, free = bytearray(n), 0
         for bucket in sorted(groups, key=lambda b: -len(groups[b])):
-            members, d = groups[bucket], 0
-            while True:
-                places = [self._slot(h, d) for h, _ in members]
-                if len(set(places)) == len(places) and not any(taken[p] for p in places):
-                    break
-                d += 1
-            self.shift[bucket] = d
-            for p, (_, key) in zip(places, members, strict=True):
+            members = groups[bucket]
+            if len(members) == 1:  # goes to the next free slot, named directly
+                while taken[free]:
+                    free += 1
+                places, self.shift[bucket] = [free], -1 - free
+            else:
+                d = 1
+                while True:
+                    places = [xxhash.xxh3_64_intdigest(k, d) % n for k in members]
+                    if len(set(places)) == len(places) and not any(taken[p] for p in places):
+                        break
+                    d += 1
+                self.shift[bucket] = d
+            for p, key in zip(places, members, strict=True):
                 taken[p], self.keys[p], self.ids[p] = 1, key, ranks[key]
 
-    def _slot(self, h: int, d: int) -> int:
-        return ((h & 0xFFFFFFFF) + d * ((h >> 32 & 0xFFFFFFFF) | 1) + (d * d * (h >> 64))) % self.n
-
     def get(self, key: bytes) -> int:
         if not self.n:
             return -1
-        h = xxhash.xxh3_128_intdigest(key)
-        p = self._slot(h >> 32, self.shift[h % self.buckets])
+        d = self.shift[xxhash.xxh3_64_intdigest(key) % self.buckets]
+        p = -1 - d if d < 0 else xxhash.xxh3_64_intdigest(key, d) % self.n
         return self.ids[p] if self.keys[p] == key else -1
 
 

@@ -42,5 +42,6 @@ def splittable(keys: DataFrame, *names: str) -> DataFrame:
     """Rows with distinct keys under fresh names of one struct; a join on them keeps a shuffle of its own, so
     that the adaptive planner can split a hot key of the other side."""
     rest = [c for c in keys.columns if c not in names]
-    packed = keys.select(F.struct(*names).alias("k"), *rest).groupBy("k").agg(*[F.min(c).alias(c) for c in rest])
+    packed = keys.select(F.struct(*names).alias("k"), *rest)
+    packed = packed.groupBy("k").agg(*[F.min(c).alias(c) for c in rest]) if rest else packed.distinct()
     return packed.select(*[F.col(f"k.{n}").alias(n) for n in names], *rest)

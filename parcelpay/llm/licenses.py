@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Short statements by which texts name their licence, by family.
@@ -41,11 +41,16 @@ def words_of(c: Column) -> Column:
 
 def grams_of(words: Column) -> Column:
     """Distinct words, pairs and triples of neighbouring words."""
-    def runs(n: int) -> Column:
-        last = F.greatest(F.size(words) - (n - 1), F.lit(0))
-        return F.transform(F.slice(words, 1, last), lambda _, i: F.array_join(F.slice(words, i + 1, n), " "))
+    def follow(runs: Column, n: int) -> Column:
+        later = F.slice(words, n, F.greatest(F.size(words), F.lit(0)))
+        return F.filter(F.zip_with(runs, later, lambda a, w: F.concat(a, F.lit(" "), w)), lambda g: g.isNotNull())
 
-    return F.array_distinct(F.concat(words, runs(2), runs(3)))
+    pairs = follow(words, 2)
+    return F.array_distinct(F.concat(words, pairs, follow(pairs, 3)))
+
+
+def _constant(strings: list[str]) -> Column:
+    return F.split(F.lit("\x1f".join(strings)), "\x1f")
 
 
 def paragraphs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,7 +90,7 @@ def train_licenses(docs: DataFrame, *, sample: int = SAMPLE_PARAGRAPHS, id_col:
     known = [r["g"] for r in triples.collect()]
     share = min(1.0, 50.0 * sample / max(1, 20 * docs.count()))
     some = paragraphs(docs, id_col=id_col, text_col=text_col).where(F.pmod(F.xxhash64("body"), F.lit(1_000_000)) < max(1, int(1_000_000 * share)))
-    other = some.where(~F.arrays_overlap(grams_of(words_of(F.col("body"))), F.lit(known))).select("body").orderBy(F.xxhash64("body"), "body").limit(sample)
+    other = some.where(~F.arrays_overlap(grams_of(words_of(F.col("body"))), _constant(known))).select("body").orderBy(F.xxhash64("body"), "body").limit(sample)
     data = made.unionByName(other.withColumn("label", F.lit(float(len(TEMPLATES))))).withColumn("grams", grams_of(words_of(F.col("body"))))
     data = data.withColumn("held", F.pmod(F.xxhash64("body", F.lit(4)), F.lit(5)) == 0)
     counts = data.where("label < %d" % len(TEMPLATES)).select(F.explode("grams").alias("g")).distinct()
@@ -116,29 +121,31 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, *, id_col: str = "doc_id
 
     A licence whose best family stays below the calibrated cut is ``unknown``. ``similarity`` is the share of the
     n-grams of the family's nearest template that the paragraph has; ``confirmed`` asks for ``CONFIRM``. Null and empty
-    texts have no paragraphs; rows repeating an id are scanned each. Other columns are ignored.
+    texts have no paragraphs; rows repeating id and text give one result. Other columns are ignored.
     """
-    names, n = model.families, len(model.families)
-    zeros = F.lit([0.0] * n)
-    keys = list(model.weights)
-    table = F.map_from_arrays(F.lit(keys), F.array(*[F.lit(model.weights[g]) for g in keys]))
-    rows = paragraphs(docs, id_col=id_col, text_col=text_col).withColumn("words", words_of(F.col("body"))).where(F.arrays_overlap("words", F.lit(model.words)))
+    spark, names, n = docs.sparkSession, model.families, len(model.families)
+    # One row per feature: bounded by the templates.
+    weights = spark.createDataFrame([(g, w) for g, w in model.weights.items()], "gram string, w array<double>")
+    rows = paragraphs(docs, id_col=id_col, text_col=text_col).withColumn("words", words_of(F.col("body"))).where(F.arrays_overlap("words", _constant(model.words)))
     rows = rows.withColumn("grams", grams_of(F.col("words")))
-    known = F.filter("grams", lambda g: F.array_contains(F.lit(keys), g))
-    raw = F.aggregate(known, F.lit(model.bias), lambda acc, g: F.zip_with(acc, F.coalesce(table[g], zeros), lambda a, w: a + w))
-    rows = rows.withColumn("raw", raw).withColumn("top", F.array_max("raw"))
-    rows = rows.withColumn("e", F.transform("raw", lambda x: F.exp((x - F.col("top")) / model.temperature)))
-    rows = rows.withColumn("p", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y)))
-    rows = rows.where(F.col("p")[n - 1] < 0.5)
+    similar = []
+    for family in names[:-1]:
+        templates = [F.split(F.lit(x), "\x1f") for x in _template_grams(spark, family)]
+        similar.append(F.array_max(F.array(*[F.size(F.array_intersect(g, F.col("grams"))) / F.size(g) for g in templates])))
+    rows = rows.withColumn("similar", F.array(*similar))
+    each = rows.select("doc_id", "paragraph", F.xxhash64("body").alias("key"), "similar", F.explode("grams").alias("gram")).join(weights, "gram")
+    sums = each.groupBy("doc_id", "paragraph", "key").agg(F.first("similar").alias("similar"), *[(F.sum(F.col("w")[i]) + model.bias[i]).alias(f"s{i}") for i in range(n)])
+    scores = [F.col(f"s{i}") for i in range(n)]
+    chances = [F.exp((s - F.greatest(*scores)) / model.temperature) for s in scores]
+    total = sum(chances[1:], chances[0])
+    rows = sums.withColumn("p", F.array(*[c / total for c in chances])).where(F.col("p")[n - 1] < 0.5)
     licence = F.slice("p", 1, n - 1)
     rows = rows.withColumn("probability", F.array_max(licence)).withColumn("guess", F.array_position(licence, F.col("probability")).cast("int"))
-    similar = F.lit(0.0)
-    for i, family in enumerate(names[:-1]):
-        best = []
-        for t in TEMPLATES[family]:
-            g = grams_of(words_of(F.lit(t)))
-            best.append(F.size(F.array_intersect(g, F.col("grams"))) / F.size(g))
-        similar = F.when(F.col("guess") == i + 1, F.greatest(*best) if len(best) > 1 else best[0]).otherwise(similar)
-    rows = rows.withColumn("similarity", similar)
+    rows = rows.withColumn("similarity", F.element_at("similar", F.col("guess")))
     family = F.when(F.col("probability") >= model.cut, F.element_at(F.lit(names), F.col("guess"))).otherwise(UNKNOWN)
     return rows.select("doc_id", "paragraph", family.alias("family"), "probability", "similarity", ((F.col("probability") >= model.cut) & (F.col("similarity") >= CONFIRM)).alias("confirmed"))
+
+
+def _template_grams(spark: SparkSession, family: str) -> list[str]:
+    rows = spark.createDataFrame([(t,) for t in TEMPLATES[family]], "t string").select(grams_of(words_of(F.col("t"))).alias("g"))
+    return ["\x1f".join(r["g"]) for r in rows.collect()]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from parcelpay.llm.common import Store, splittable
 
-TABLES, HASHES, WIDTH, PROBES = 16, 6, 1.6, 24
+TABLES, HASHES, WIDTH, PROBES = 16, 6, 2.2, 40
 BLOCK = 4096
 
 
@@ -30,7 +30,7 @@ def _planes(dim: int, scale: float, tables: int, hashes: int, width: float, seed
 
 
 def _bucket(table: int, h: np.ndarray) -> np.ndarray:
-    out = np.full(h.shape[:-1], np.uint64(table + 1) * np.uint64(0x9E3779B97F4A7C15))
+    out = np.full(h.shape[:-1], np.uint64((table + 1) * 0x9E3779B97F4A7C15 % 2**64))
     for i in range(h.shape[-1]):
         out = (out ^ h[..., i].astype(np.int64).view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
         out ^= out >> np.uint64(29)
