@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from parcelpay.llm.common import text_or_empty
 
-CACHE_PIECES = 300_000
+CACHE_PIECES = 500_000
 _ODD_SPACE = re.compile(r" (?=\s|\Z)")
 _codecs: dict[tuple[str, str], "ByteBpe"] = {}
 

@@ -204,7 +204,8 @@ def near_dedup(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str
 
     heads = filled.groupBy(F.struct("set_key").alias("k")).agg(F.min("doc").alias("node")).select(F.col("k.set_key").alias("set_key"), "node")
     named = heads.join(label.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("set_key", F.coalesce("component", "node").alias("component"))
+    own = F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc"))
     return features.join(splittable(named, "set_key"), "set_key", "left").select(
-        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"),
-        F.coalesce(F.coalesce("component", "doc") == F.col("doc"), F.lit(True)).alias("kept"),
+        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"),
+        F.coalesce(own == F.col("doc"), F.lit(True)).alias("kept"),
     )

@@ -8,6 +8,7 @@ stripes by their minima and maxima, then row groups by index and Bloom filter.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -29,9 +30,21 @@ ORC_OPTIONS = {
 CACHE_WORDS = 400_000
 # White space other than blank, tab and line ends: such texts are encoded whole.
 _RARE_WHITE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+_PLAIN = re.compile("[!-~\u00c0-\u012f\u0132-\u017e]+")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 _encoders: dict[str, "WordEncoder"] = {}
 
 
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in own else next(others)) for b in range(256)]
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class WordEncoder:
     """A tokenizer whose words are encoded apart (word ends, white space dropped), each distinct word once.
 
@@ -44,15 +57,18 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.cache_words = cache_words
         self.words: dict[str, np.ndarray] = {}
+        self.pieces: dict[str, list[int]] = {}
 
     def _learn(self, words: list[str]) -> None:
         if len(self.words) + len(words) > self.cache_words:
             self.words.clear()
-        model, rest = self.tokenizer.model, []
+        rest = []
         for w in words:
-            # Lower-casing is all the normalizer does to a word of plain letters, and the word is one piece.
-            if w.isascii() and w.isalpha():
-                self.words[w] = np.array([t.id for t in model.tokenize(w.lower())], np.int32)
+            # Blanks never cross a word and lower-casing is all the normalizer does to composed Latin letters, so the
+            # model may be asked for each piece of such a word.
+            if _PLAIN.fullmatch(w) and "<|" not in w and unicodedata.is_normalized("NFC", w):
+                ids = [i for p in _PIECES.findall(w.lower()) for i in (self.pieces.get(p) or self._piece(p))]
+                self.words[w] = np.array(ids, np.int32)
             else:
                 rest.append(w)
         for i in range(0, len(rest), 20_000):
@@ -60,6 +76,13 @@ class WordEncoder:
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.words[w] = np.array(e.ids, np.int32)
 
+    def _piece(self, piece: str) -> list[int]:
+        if len(self.pieces) >= self.cache_words:
+            self.pieces.clear()
+        spelled = piece if piece.isascii() else "".join(map(_BYTE_LETTERS.__getitem__, piece.encode()))
+        ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(spelled)]
+        return ids
+
     def encode(self, text: str) -> np.ndarray:
         if _RARE_WHITE.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
