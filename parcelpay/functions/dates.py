@@ -19,6 +19,14 @@ DATE_FORMATS = (
     "d MMM yyyy[ H:mm[:ss]]",
     "MMM d, yyyy[ H:mm[:ss]]",
     "yyyyMMdd",
+    "d-MMM-yyyy[ H:mm[:ss]]",
+    "d MMMM yyyy[ H:mm[:ss]]",
+    "MMM d yyyy[ H:mm[:ss]]",
+    "MMMM d, yyyy[ H:mm[:ss]]",
+    "M/d/yyyy h:mm[:ss] a",
+    "d/M/yyyy h:mm[:ss] a",
+    "yyyy-M-d h:mm[:ss] a",
+    "M/d/yyyy H:mm:ss[.SSSSSS][.SSS][.S]",
 )
 
 
@@ -32,7 +40,9 @@ def timestamp(x: str, kind: T.DataType | None = None, formats: tuple[str, ...] =
     if isinstance(kind, T.TimestampType):
         return f"cast({x} AS timestamp_ntz)"
     text = strip(x)
-    iso = rf"CASE WHEN {text} RLIKE r'^\d{{4}}-\d' THEN try_cast({text} AS timestamp_ntz) END"
+    # A time with an offset is an instant; it counts on the day it has in the session's zone (UTC).
+    zoned = rf"WHEN {text} RLIKE r'^\d{{4}}-\d.*:.*(Z|[+-]\d\d:?\d\d)$' THEN cast(try_cast({text} AS timestamp) AS timestamp_ntz)"
+    iso = rf"CASE {zoned} WHEN {text} RLIKE r'^\d{{4}}-\d' THEN try_cast({text} AS timestamp_ntz) END"
     tries = [f"cast(try_to_timestamp({text}, {literal(f)}) AS timestamp_ntz)" for f in formats]
     return f"coalesce({', '.join([iso, *tries])})"
 

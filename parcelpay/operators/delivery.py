@@ -77,38 +77,33 @@ def special_rate_of(day: str, parcels: str, rules: Sequence[SpecialRate]) -> str
     )
 
 
-MAX_CARD_ROWS = 10_000
-
-
 def tier_from_card(daily: DataFrame, card: DataFrame) -> DataFrame:
     """Tier and rate per day from a rate card kept as a table.
 
     ``card`` has (rule_order, tier, low, high, rate, valid_from, valid_to); open bounds are NULL.
-    The first rule by ``rule_order`` that matches wins. The card becomes one array value through a
-    scalar subquery, so the fact is not joined at all; a card beyond ``MAX_CARD_ROWS`` fails.
+    The first rule by ``rule_order`` that matches wins. Rules are spread over the months they are valid in,
+    within the days that occur, and meet the distinct (day, parcels) pairs by month, whatever the card's size.
     """
+    span = daily.agg(F.expr("struct(min(delivery_date) AS lo, max(delivery_date) AS hi)").alias("s"))
     rules = (
-        card.limit(MAX_CARD_ROWS + 1)
-        .agg(F.expr("sort_array(collect_list(struct(rule_order, tier, low, high, rate, valid_from, valid_to)))").alias("r"))
+        card.withColumn("__span", span.scalar())
+        .selectExpr("*", "greatest(valid_from, __span.lo) AS __from", "least(valid_to, __span.hi) AS __to")
+        .where("__from <= __to")
         .selectExpr(
-            f"CASE WHEN size(r) <= {MAX_CARD_ROWS} THEN r "
-            f"ELSE raise_error('rate card has more than {MAX_CARD_ROWS} rows') END AS r"
+            "low", "high", "__from", "__to", "struct(rule_order, tier, low, high, rate, valid_from, valid_to) AS rule",
+            "explode(sequence(trunc(__from, 'MM'), trunc(__to, 'MM'), interval 1 month)) AS __month",
         )
     )
-    hit = F.expr(
-        """get(filter(__rules, r -> (r.low IS NULL OR daily_parcels >= r.low)
-                                AND (r.high IS NULL OR daily_parcels <= r.high)
-                                AND (r.valid_from IS NULL OR delivery_date >= r.valid_from)
-                                AND (r.valid_to IS NULL OR delivery_date <= r.valid_to)), 0)"""
+    pairs = daily.select("delivery_date", "daily_parcels").distinct().selectExpr("*", "trunc(delivery_date, 'MM') AS __month")
+    bounds = F.expr(
+        """delivery_date BETWEEN __from AND __to AND (low IS NULL OR daily_parcels >= low)
+           AND (high IS NULL OR daily_parcels <= high)"""
     )
-    return (
-        daily.withColumn("__rules", rules.scalar())
-        .withColumn("__hit", hit)
-        .selectExpr(
-            *daily.columns,
-            "coalesce(__hit.tier, 'Unmatched') AS tier",
-            f"coalesce(cast(__hit.rate AS {RATE}), cast(0 AS {RATE})) AS rate_per_parcel",
-        )
+    hits = pairs.join(rules, "__month").where(bounds).groupBy("delivery_date", "daily_parcels").agg(F.min("rule").alias("__hit"))
+    return daily.join(hits, ["delivery_date", "daily_parcels"], "left").selectExpr(
+        *daily.columns,
+        "coalesce(__hit.tier, 'Unmatched') AS tier",
+        f"coalesce(cast(__hit.rate AS {RATE}), cast(0 AS {RATE})) AS rate_per_parcel",
     )
 
 

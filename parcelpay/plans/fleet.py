@@ -56,7 +56,7 @@ def fleet_summary(book: Workbook, rules: Rules, net: DataFrame | None = None) ->
         M.totalled(parts)
         .groupBy("dispatcher_key")
         .agg(
-            F.expr("coalesce(min(dispatcher_name), 'Unknown') AS dispatcher_name"),
+            F.expr("coalesce(min(nullif(dispatcher_name, 'Unknown')), 'Unknown') AS dispatcher_name"),
             M.quantity_of(*TIERS, alias="parcels"),
             *[M.quantity_of(t, alias=f"{t}_parcels") for t in TIERS],
             M.amount_of(*TIERS, alias="total_weight"),

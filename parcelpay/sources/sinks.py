@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_report(df: DataFrame, path: str, file_format: str = "parquet", partition_by: tuple[str, ...] = ()) -> None:
-    """Overwrite a report folder, split into partition folders by the given columns."""
-    writer = df.write.mode("overwrite").format(file_format)
+def write_report(df: DataFrame, path: str, file_format: str = "parquet", partition_by: tuple[str, ...] = (), keep_others: bool = False) -> None:
+    """Overwrite a report folder, split into partition folders by the given columns.
+
+    With ``keep_others`` only the partition folders that have rows in ``df`` are replaced.
+    """
+    writer = df.write.mode("overwrite").format(file_format).option("partitionOverwriteMode", "dynamic" if keep_others else "static")
     if file_format == "csv":
         writer = writer.option("header", True)
     if partition_by:
@@ -17,19 +20,21 @@ def write_report(df: DataFrame, path: str, file_format: str = "parquet", partiti
 
 
 def write_period_report(df: DataFrame, path: str, period: str, file_format: str = "parquet") -> None:
-    """Report of one period under ``period=...``."""
-    write_report(df.withColumn("period", F.lit(period)), path, file_format, ("period",))
+    """Report of one period under ``period=...``; other periods in the folder stay."""
+    write_report(df.withColumn("period", F.lit(period)), path, file_format, ("period",), keep_others=True)
 
 
 def write_canonical(df: DataFrame, path: str) -> None:
-    """Canonical sheet at rest, by month, so that a period reads only its months.
+    """Canonical sheet at rest, by month, so that a period reads only its months; undated sheets as they are.
 
-    Rows are shuffled on month and waybill hash first: each month gets several evenly sized
-    files, without one task owning a month and without a file per task and month.
+    Rows are rebalanced on the month: the planner splits a large month over several tasks by size and joins small
+    ones, so no month is bound to one task or to a fixed number of files.
     """
+    if "event_ts" not in df.columns:
+        write_report(df, path)
+        return
     dated = df.withColumn("period_month", F.date_format("event_ts", "yyyy-MM"))
-    spread = dated.repartition("period_month", F.pmod(F.xxhash64(*df.columns), F.lit(64)))
-    write_report(spread, path, "parquet", ("period_month",))
+    write_report(dated.hint("rebalance", F.col("period_month")), path, "parquet", ("period_month",))
 
 
 def write_then_read(df: DataFrame, path: str) -> DataFrame:

@@ -129,12 +129,13 @@ def test_bonuses(spark):
     }
 
 
-def test_oversized_rate_card_fails(spark):
-    card = spark.range(delivery.MAX_CARD_ROWS + 1).selectExpr(
-        "id rule_order", "'t' tier", "id low", "id high", "1.0BD rate", "cast(null AS date) valid_from", "cast(null AS date) valid_to"
+def test_large_rate_card(spark):
+    card = spark.range(20_000).selectExpr(
+        "id rule_order", "concat('t', id) tier", "id low", "id high", "1.0BD rate", "cast(null AS date) valid_from", "cast(null AS date) valid_to"
     )
-    with pytest.raises(Exception, match="rate card has more than"):
-        delivery.tier_from_card(days_of(spark, ("1", "2024-01-01", 1)), card).collect()
+    days = days_of(spark, ("1", "2024-01-01", 1), ("2", "2024-03-05", 19_999), ("3", "2024-03-05", 20_000))
+    got = {r["daily_parcels"]: r["tier"] for r in delivery.tier_from_card(days, card).collect()}
+    assert got == {1: "t1", 19_999: "t19999", 20_000: "Unmatched"}
 
 
 RULES = Rules(tiers=(Tier("only", 0, None, Decimal("1")),), route_pool=Decimal("0.05"), route_statement_enabled=True)

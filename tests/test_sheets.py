@@ -189,3 +189,24 @@ def test_checkpoint_dir_of_the_session_wins(spark, tmp_path):
 
     configured = spark.conf.get("spark.checkpoint.dir", None)
     assert use_checkpoint_dir(spark, str(tmp_path)) == (configured or str(tmp_path))
+
+
+def test_periods_stay_and_undated_sheets(spark, tmp_path):
+    rows = spark.createDataFrame([("1", 5)], "dispatcher_id string, amount int")
+    for period in ("2024-01", "2024-02"):
+        write_period_report(rows, str(tmp_path / "report"), period)
+    assert spark.read.parquet(str(tmp_path / "report")).count() == 2
+    write_canonical(rows, str(tmp_path / "rental"))
+    assert spark.read.parquet(str(tmp_path / "rental")).collect() == rows.collect()
+
+
+def test_more_date_shapes(spark):
+    from parcelpay.functions import dates
+
+    shapes = {
+        "05-Jan-2024": "2024-01-05 00:00:00", "5 January 2024": "2024-01-05 00:00:00", "Jan 5 2024": "2024-01-05 00:00:00",
+        "1/5/2024 3:04 PM": "2024-01-05 15:04:00", "2024-01-05 3:04 PM": "2024-01-05 15:04:00",
+        "1/5/2024 3:04:05.5": "2024-01-05 03:04:05.5", "2024-01-05T01:11:12+08:00": "2024-01-04 17:11:12", "junk": None,
+    }
+    df = spark.createDataFrame([(x,) for x in shapes], "x string").selectExpr("x", f"cast({dates.timestamp('x')} AS string) AS t")
+    assert {r["x"]: r["t"] for r in df.collect()} == shapes
