@@ -15,6 +15,8 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelpay.llm.common import Store
+
 #: Short statements by which texts name their licence, by family.
 TEMPLATES = {
     "MIT": ("Released under the MIT License.", "This project is licensed under the terms of the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
@@ -92,7 +94,7 @@ def train_licenses(docs: DataFrame, *, sample: int = SAMPLE_PARAGRAPHS, id_col:
     some = paragraphs(docs, id_col=id_col, text_col=text_col).where(F.pmod(F.xxhash64("body"), F.lit(1_000_000)) < max(1, int(1_000_000 * share)))
     other = some.where(~F.arrays_overlap(grams_of(words_of(F.col("body"))), _constant(known))).select("body").orderBy(F.xxhash64("body"), "body").limit(sample)
     data = made.unionByName(other.withColumn("label", F.lit(float(len(TEMPLATES))))).withColumn("grams", grams_of(words_of(F.col("body"))))
-    data = data.withColumn("held", F.pmod(F.xxhash64("body", F.lit(4)), F.lit(5)) == 0)
+    data = Store(spark).put(data.coalesce(2), "training").withColumn("held", F.pmod(F.xxhash64("body", F.lit(4)), F.lit(5)) == 0)
     counts = data.where("label < %d" % len(TEMPLATES)).select(F.explode("grams").alias("g")).distinct()
     common = data.where("label = %d" % len(TEMPLATES)).select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > COMMON_SHARE * sample)
     vocabulary = sorted(r["g"] for r in counts.join(common, "g", "left_anti").collect())
@@ -100,7 +102,7 @@ def train_licenses(docs: DataFrame, *, sample: int = SAMPLE_PARAGRAPHS, id_col:
     vocabulary = [g for g in vocabulary if any(w in single for w in g.split(" "))]
     counted = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features", 1.0)
     ready = counted.transform(data)
-    fitted = LogisticRegression(family="multinomial", regParam=RIDGE, maxIter=100).fit(ready.where("not held"))
+    fitted = LogisticRegression(family="multinomial", regParam=RIDGE, maxIter=40).fit(ready.where("not held"))
     matrix, bias = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
     held = [(r["label"], r["rawPrediction"].toArray()) for r in fitted.transform(ready.where("held")).select("label", "rawPrediction").collect()]
 
