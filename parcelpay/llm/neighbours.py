@@ -163,14 +163,16 @@ def nearest(vectors: DataFrame, is_query, *, k: int = 20, tables: int = TABLES,
     dealt = c.unionByName(q).join(float_heads, "id").select("place", "kind", "id", "v").repartition("place").sortWithinPartitions("place", "kind")
     found = store.put(dealt.mapInArrow(_search(k), "query long, id long, score double").distinct(), "found")
 
-    pairs = asked.join(found, asked.id == found.query).select("query_id", found.id, "score")
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-
-    def top(scored: DataFrame) -> DataFrame:
-        ids = scored.join(distinct.select("id", "ids"), "id").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-        return ids.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
-
-    result = store.put(top(pairs).select("query_id", "rank", "vec_id", "score"), "result")
+    def top(best: DataFrame, who: DataFrame) -> DataFrame:
+        """Rank once per distinct query vector: k + 1 places leave k beside any query's own row."""
+        ids = best.join(distinct.select("id", "ids"), "id").select("query", "score", F.explode("ids").alias("vec_id"))
+        places = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+        ids = ids.withColumn("place", F.row_number().over(places)).where(F.col("place") <= k + 1)
+        own = who.join(ids, F.col("id") == F.col("query")).where("vec_id <> query_id")
+        by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return own.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    result = store.put(top(found, asked), "result")
     enough = min(k, rows.count() - 1)
     short = asked.join(result.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < enough).select("query_id", "id")
     short = store.put(short, "short")
@@ -178,10 +180,10 @@ def nearest(vectors: DataFrame, is_query, *, k: int = 20, tables: int = TABLES,
         return result
     # Compare the few queries left with every row, in blocks by a hash of the candidate.
     parts = max(1, -(-distinct.count() // block))
-    qs = short.select("id").distinct().join(float_heads, "id").select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long").alias("place"), F.lit(0).alias("kind"), "id", "v")
+    qs = short.select("id").distinct().join(float_heads, "id").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("place"), F.lit(0).alias("kind"), "id", "v")
     cs = float_heads.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("place"), F.lit(1).alias("kind"), "id", "v")
     full = cs.unionByName(qs).repartition("place").sortWithinPartitions("place", "kind").mapInArrow(_search(k), "query long, id long, score double").distinct()
-    again = top(short.join(full, short.id == full.query).select("query_id", full.id, "score")).select("query_id", "rank", "vec_id", "score")
+    again = top(full, short)
     return result.join(short, "query_id", "left_anti").unionByName(again)
 
 
