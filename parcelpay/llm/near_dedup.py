@@ -26,6 +26,9 @@ CHUNKS, WIDTH = 12, 6
 SYMBOLS = CHUNKS * WIDTH
 WORDS = SYMBOLS // 8
 MAX_DISTANCE = 2 * CHUNKS - 1
+MAP_BITS = 1024
+MAP_WORDS = MAP_BITS // 64
+BLOCK = 2048
 CACHE_WORDS = 400_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ONE_SPACE = bytes(32 if c in WHITE else c for c in _LOWER)
@@ -75,6 +78,13 @@ def signature(shingles: np.ndarray) -> bytes:
     return (_mix(least) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
+def bit_map(shingles: np.ndarray) -> bytes:
+    """A bit for every value that the first ten bits of some shingle hash have."""
+    bits = np.zeros(MAP_BITS, bool)
+    bits[(shingles >> np.uint64(54)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
 def _features(size: int):
     schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("sig", pa.binary())])
 
@@ -85,19 +95,19 @@ def _features(size: int):
                 s = shingle_set(text, size)
                 n.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sigs.append(signature(s) if len(s) else None)
+                sigs.append(signature(s) + bit_map(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], schema=schema)
 
     return run
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunk keys and the signature as longs."""
+    """Chunk keys, and the signature followed by the bit map as longs."""
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("sig", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
     for batch in batches:
         rows = batch.num_rows
-        sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(rows, SYMBOLS)
-        symbols = sig.reshape(rows, CHUNKS, WIDTH).astype(np.uint64)
+        sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(rows, 8 * (WORDS + MAP_WORDS))
+        symbols = sig[:, :SYMBOLS].reshape(rows, CHUNKS, WIDTH).astype(np.uint64)
         shifts = (np.arange(WIDTH, dtype=np.uint64) * np.uint64(8))[None, None, :]
         whole = (symbols << shifts).sum(2, dtype=np.uint64)
         keys = np.empty((rows, CHUNKS, WIDTH), np.uint64)
@@ -106,7 +116,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys[:, :, k] = _mix((without + np.uint64(1)) * np.uint64(2 * SYMBOLS + 1) + (np.arange(CHUNKS, dtype=np.uint64) * np.uint64(WIDTH) + np.uint64(k))[None, :])
         lists = [
             pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * width, pa.int32()), pa.array(values))
-            for width, values in ((WORDS, sig.copy().view(np.int64).ravel()), (SYMBOLS, keys.view(np.int64).ravel()))
+            for width, values in ((WORDS + MAP_WORDS, sig.copy().view(np.int64).ravel()), (SYMBOLS, keys.view(np.int64).ravel()))
         ]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], schema=schema)
 
@@ -122,6 +132,66 @@ def _distance(a: str, b: str) -> Column:
     return total
 
 
+def _may_link(percent: int) -> Column:
+    """Whether distance, sizes and bit maps allow a link of the classes a and b.
+
+    A bit that only one set has stands for a shingle at least that the other lacks, so the maps bound the common
+    shingles from above and no link is lost; for short sets they rule out most pairs that share a long passage only.
+    """
+    def only(x: str, y: str) -> Column:
+        return sum((F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(WORDS, WORDS + MAP_WORDS)), F.lit(0))
+
+    sizes = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    common = F.least(F.col("n_a") - only("sig_a", "sig_b"), F.col("n_b") - only("sig_b", "sig_a"))
+    return sizes & (_distance("sig_a", "sig_b") <= MAX_DISTANCE) & ((100 + percent) * common >= percent * (F.col("n_a") + F.col("n_b")))
+
+
+def _close(node: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray, percent: int) -> Iterator[np.ndarray]:
+    """Rows (smaller, larger node) of the pairs of different components that may be linked, as in ``_may_link``."""
+    symbols, maps = sig.view(np.uint8)[:, :SYMBOLS], sig[:, WORDS:].view(np.uint64)
+    for first in range(0, len(node), 64):
+        i, j = np.nonzero(
+            (comp[first : first + 64, None] < comp[None, :])
+            & (100 * np.minimum(n[first : first + 64, None], n[None, :]) >= percent * np.maximum(n[first : first + 64, None], n[None, :]))
+        )
+        i += first
+        near = np.count_nonzero(symbols[i] != symbols[j], axis=1) <= MAX_DISTANCE
+        i, j = i[near], j[near]
+        x, y = maps[i], maps[j]
+        common = np.minimum(n[i] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), n[j] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+        link = (100 + percent) * common >= percent * (n[i] + n[j])
+        if link.any():
+            yield np.sort(np.column_stack([node[i[link]], node[j[link]]]), axis=1)
+
+
+def _pairs(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def place() -> Iterator[pa.RecordBatch]:
+            parts = [np.concatenate(x) for x in zip(*held, strict=True)]
+            for pairs in _close(*parts, percent):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        at = None
+        for batch in batches:  # sorted by place
+            if not batch.num_rows:
+                continue
+            where, node, comp, n = (batch.column(i).to_numpy() for i in range(4))
+            sig = batch.column(4).flatten().to_numpy().reshape(batch.num_rows, WORDS + MAP_WORDS)
+            cuts = [0, *(np.flatnonzero(np.diff(where)) + 1), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if where[a] != at and held:
+                    yield from place()
+                    held.clear()
+                at = where[a]
+                held.append((node[a:b], comp[a:b], n[a:b], sig[a:b]))
+        if held:
+            yield from place()
+
+    return run
+
+
 def _confirm(size: int, percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -170,8 +240,7 @@ def near_dedup(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str
         """Pairs (a, b) of classes within the distance and with sizes that allow the similarity."""
         left = sig.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
         right = sig.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
-        sizes = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        return pairs.join(left, "a").join(right, "b").where(sizes & (_distance("sig_a", "sig_b") <= MAX_DISTANCE)).select("a", "b")
+        return pairs.join(left, "a").join(right, "b").where(_may_link(percent)).select("a", "b")
 
     texts = None
 
@@ -188,16 +257,15 @@ def near_dedup(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str
     stars = store.put(near(shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()), "stars")
     links = confirmed(stars, "links")
     label = components(links, store)
-    # What is left: members of one bucket in different components.
+    # What is left: members of one bucket in different components. Large buckets are dealt in blocks, each pair of
+    # which meets in a place of its own.
     tagged = shared.select("key", "node").join(label, shared.node == label.node, "left").select("key", shared.node, F.coalesce("component", shared.node).alias("comp"))
-    mixed = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    open_rows = store.put(tagged.join(splittable(mixed, "key"), "key"), "open")
-    x = open_rows.select("key", F.col("node").alias("a"), F.col("comp").alias("ca"))
-    y = open_rows.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    sx, sy = (sig.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}")) for c in "ab")
-    close = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)") & (_distance("sig_a", "sig_b") <= MAX_DISTANCE)
-    left, right = x.join(sx, "a"), y.join(sy, "b")
-    pairs = left.join(right, (left.key == right.key) & (left.ca < right.cb) & close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    mixed = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    open_rows = store.put(tagged.join(splittable(mixed.where("lo < hi").select("key", "blocks"), "key"), "key"), "open")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    places = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: F.xxhash64("key", F.least(own, i), F.greatest(own, i)))
+    dealt = open_rows.join(sig, "node").select(F.explode(places).alias("place"), "node", "comp", "n", "sig").repartition("place").sortWithinPartitions("place")
+    pairs = dealt.mapInArrow(_pairs(percent), "a long, b long")
     rest = store.put(pairs.distinct().join(stars, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         label = components(links.unionByName(confirmed(rest, "more")), store)
