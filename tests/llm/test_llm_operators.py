@@ -138,6 +138,16 @@ def test_near_dedup(docs, texts, size, percent):
     assert got == brute_components(texts, size, percent)
 
 
+def test_near_dedup_blocks_of_open_buckets(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    r = random.Random(12)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join(passage + [f"w{r.randrange(10**6)}" for _ in range(r.choice((2, 4, 8, 12, 16)))])) for i in range(80)]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), size=3, percent=85).collect()}
+    expected = brute_components(rows, 3, 85)
+    assert got == expected and len({c for _, c in expected.values()}) > 3
+
+
 def test_near_dedup_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c"), (2, "a b c"), (1, "A  b\nc"), (1, "A b c")], "doc_id long, text string")
     got = near_dedup.near_dedup(df).collect()
