@@ -164,7 +164,13 @@ def nearest(vectors: DataFrame, is_query, *, k: int = 20, tables: int = TABLES,
     found = store.put(dealt.mapInArrow(_search(k), "query long, id long, score double").distinct(), "found")
 
     def top(best: DataFrame, who: DataFrame) -> DataFrame:
-        """Rank once per distinct query vector: k + 1 places leave k beside any query's own row."""
+        """Rank once per distinct query vector: k + 1 places leave k beside any query's own row.
+
+        Every vector has one id at least, the one that stands for it and the smallest, so the k + 1 best ids are
+        among those of the k + 1 best vectors; only these are expanded into all their ids.
+        """
+        nearest_first = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+        best = best.withColumn("place", F.row_number().over(nearest_first)).where(F.col("place") <= k + 1)
         ids = best.join(distinct.select("id", "ids"), "id").select("query", "score", F.explode("ids").alias("vec_id"))
         places = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
         ids = ids.withColumn("place", F.row_number().over(places)).where(F.col("place") <= k + 1)
