@@ -79,7 +79,7 @@ class LicenseModel:
 
 
 def train_licenses(docs: DataFrame, *, sample: int = SAMPLE_PARAGRAPHS, id_col: str = "doc_id", text_col: str = "text") -> LicenseModel:
-    """Train on the templates' variants and at most ``sample`` paragraphs without any template triple.
+    """Train on the templates' variants and at most ``sample`` different paragraphs without any template triple.
 
     A fifth of the rows is held out: the temperature minimises their log loss, and ``cut`` is the probability that
     98 % of the held-out family rows that are classed rightly reach; below it a licence is of the unknown class.
@@ -90,11 +90,13 @@ def train_licenses(docs: DataFrame, *, sample: int = SAMPLE_PARAGRAPHS, id_col:
     made = spark.createDataFrame(rows, "body string, label double")
     triples = made.select(F.explode(F.filter(grams_of(words_of(F.col("body"))), lambda g: F.size(F.split(g, " ")) == 3)).alias("g")).distinct()
     known = [r["g"] for r in triples.collect()]
-    share = min(1.0, 50.0 * sample / max(1, 20 * docs.count()))
-    some = paragraphs(docs, id_col=id_col, text_col=text_col).where(F.pmod(F.xxhash64("body"), F.lit(1_000_000)) < max(1, int(1_000_000 * share)))
-    other = some.where(~F.arrays_overlap(grams_of(words_of(F.col("body"))), _constant(known))).select("body").orderBy(F.xxhash64("body"), "body").limit(sample)
+    store = Store(spark)
+    bodies = paragraphs(docs, id_col=id_col, text_col=text_col).select("body")
+    share = min(1.0, 2.0 * sample / max(1, bodies.agg(F.approx_count_distinct(F.xxhash64("body"))).first()[0]))
+    some = store.put(bodies.where(F.pmod(F.xxhash64("body"), F.lit(1_000_000_000)) < int(1_000_000_000 * share)).distinct(), "sample")
+    other = some.where(~F.arrays_overlap(grams_of(words_of(F.col("body"))), _constant(known))).orderBy(F.xxhash64("body"), "body").limit(sample)
     data = made.unionByName(other.withColumn("label", F.lit(float(len(TEMPLATES))))).withColumn("grams", grams_of(words_of(F.col("body"))))
-    data = Store(spark).put(data.coalesce(2), "training").withColumn("held", F.pmod(F.xxhash64("body", F.lit(4)), F.lit(5)) == 0)
+    data = store.put(data.coalesce(2), "training").withColumn("held", F.pmod(F.xxhash64("body", F.lit(4)), F.lit(5)) == 0)
     counts = data.where("label < %d" % len(TEMPLATES)).select(F.explode("grams").alias("g")).distinct()
     common = data.where("label = %d" % len(TEMPLATES)).select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > COMMON_SHARE * sample)
     vocabulary = sorted(r["g"] for r in counts.join(common, "g", "left_anti").collect())
@@ -135,8 +137,10 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, *, id_col: str = "doc_id
         templates = [F.split(F.lit(x), "\x1f") for x in _template_grams(spark, family)]
         similar.append(F.array_max(F.array(*[F.size(F.array_intersect(g, F.col("grams"))) / F.size(g) for g in templates])))
     rows = rows.withColumn("similar", F.array(*similar))
-    each = rows.select("doc_id", "paragraph", F.xxhash64("body").alias("key"), "similar", F.explode("grams").alias("gram")).join(weights, "gram")
-    sums = each.groupBy("doc_id", "paragraph", "key").agg(F.first("similar").alias("similar"), *[(F.sum(F.col("w")[i]) + model.bias[i]).alias(f"s{i}") for i in range(n)])
+    known = F.array_intersect("grams", _constant(list(model.weights)))
+    each = rows.select("doc_id", "paragraph", F.xxhash64("body").alias("key"), "similar", F.posexplode(known).alias("nth", "gram")).join(weights, "gram")
+    copies = F.count_if(F.col("nth") == 0)  # rows repeating id and text
+    sums = each.groupBy("doc_id", "paragraph", "key").agg(F.first("similar").alias("similar"), *[(F.sum(F.col("w")[i]) / copies + model.bias[i]).alias(f"s{i}") for i in range(n)])
     scores = [F.col(f"s{i}") for i in range(n)]
     chances = [F.exp((s - F.greatest(*scores)) / model.temperature) for s in scores]
     total = sum(chances[1:], chances[0])
