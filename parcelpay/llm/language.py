@@ -23,9 +23,9 @@ SCRIPTS = {
     "hangul": "ᄀ-ᇿ가-힯", "kana": "぀-ヿ", "han": "㐀-䶿一-鿿",
 }
 SWITCH = 6.0
-WORD_LENGTH = 40
 MIN_COUNT = 3
 CACHE_WORDS = 200_000
+CACHE_LETTERS = 8_000_000
 MAX_ROWS = 30_000
 BLOCK_WORDS = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -39,14 +39,15 @@ class LanguageModel:
     unseen: np.ndarray
     scripts: dict[str, np.ndarray]
     cache: dict[str, int] = field(default_factory=dict)
+    letters: int = 0
     table: np.ndarray | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"cache": {}, "table": None}
+        return self.__dict__ | {"cache": {}, "letters": 0, "table": None}
 
     def score(self, word: str) -> np.ndarray:
         """Log score per language; -inf outside the candidates of the word's script."""
-        w = f" {word.lower()[:WORD_LENGTH]} "
+        w = f" {word.lower()} "
         total = np.zeros(len(self.langs))
         for i in range(len(w) - 2):
             total += self.grams.get(w[i : i + 3], self.unseen)
@@ -59,9 +60,9 @@ class LanguageModel:
             return np.array([self.cache[w] for w in words], np.int64)
         except KeyError:
             new = {w for w in words if w not in self.cache}
-            if len(self.cache) + len(new) > CACHE_WORDS:
+            if len(self.cache) + len(new) > CACHE_WORDS or self.letters > CACHE_LETTERS:
                 self.cache.clear()
-                new = set(words)
+                self.letters, new = 0, set(words)
             need = len(self.cache) + len(new)
             if self.table is None or need > len(self.table):
                 grown = np.zeros((max(2 * need, 1024), len(self.langs)), np.float32)
@@ -71,6 +72,7 @@ class LanguageModel:
             for w in new:
                 self.table[len(self.cache)] = self.score(w)
                 self.cache[w] = len(self.cache)
+                self.letters += len(w)
             return np.array([self.cache[w] for w in words], np.int64)
 
 
@@ -87,7 +89,7 @@ def train_language(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "
     share = min(1.0, max_rows / max(1, labelled.count()))
     sample = labelled.where(F.pmod(F.xxhash64(F.col(text_col)), F.lit(1_000_000)) < int(1_000_000 * share))
     words = sample.select(F.col(lang_col).alias("lang"), F.explode(F.regexp_extract_all(lower, F.lit(r"(\p{L}+)"), 1)).alias("w"))
-    counted = words.groupBy("lang", F.substring("w", 1, WORD_LENGTH).alias("w")).agg(F.count("*").alias("n"))
+    counted = words.groupBy("lang", "w").agg(F.count("*").alias("n"))
     padded = counted.select("lang", "n", F.concat(F.lit(" "), "w", F.lit(" ")).alias("p"))
     grams = padded.select("lang", "n", F.explode(F.sequence(F.lit(1), F.length("p") - 2)).alias("i"), "p").select("lang", "n", F.substring("p", F.col("i"), F.lit(3)).alias("g"))
     rows = grams.groupBy("lang", "g").agg(F.sum("n").alias("n")).where(f"n >= {MIN_COUNT}").collect()
