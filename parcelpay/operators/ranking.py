@@ -5,51 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_WIDTH = 3
-_LEVELS = 4
+SPLITS = 1000
 
 
-def ordinal_positions(ids: DataFrame, column: str) -> DataFrame:
+def ordinal_positions(ids: DataFrame, column: str, splits: int = SPLITS) -> DataFrame:
     """(id, position, total): zero-based position of each distinct id in text order.
 
-    The position is the number of ids in front, summed level by level over prefixes of 3, 6, 9
-    and 12 characters: each level orders the distinct next prefixes below one parent prefix, so a
-    window holds at most the combinations of three characters. Only ids that share 12 characters
-    are ordered directly against each other.
+    ``splits`` of the ids, the first by hash, cut the order into ranges of similar size, whatever
+    prefixes the ids share. A position is the number of ids in earlier ranges and of those in front
+    within the range. The split points depend on the ids alone, so a repeated task sees the same.
     """
     key = F.col(column)
-    full = F.substring(key, 1, _WIDTH * _LEVELS)
-    levels = F.array(
-        *[
-            F.struct(
-                F.lit(n).alias("level"),
-                F.substring(key, 1, _WIDTH * (n - 1)).alias("parent"),
-                F.substring(key, 1, _WIDTH * n).alias("prefix"),
-            )
-            for n in range(1, _LEVELS + 1)
-        ]
-    )
-    siblings = Window.partitionBy("level", "parent")
-    before = siblings.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ids.select(F.explode(levels).alias("p"))
-        .groupBy("p.level", "p.parent", "p.prefix")
+    some = ids.select(key).orderBy(F.xxhash64(key), key).limit(splits)
+    points = some.agg(F.collect_list(key)).scalar()
+    ahead_of = F.size(F.filter("points", lambda p: p <= key))
+    placed = ids.select(key, points.alias("points")).select(key, ahead_of.alias("part"))
+    # One row per range: bounded by the split points.
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = (
+        placed.groupBy("part")
         .agg(F.count(F.lit(1)).alias("n"))
         .select(
-            "level",
-            "prefix",
-            F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"),
-            F.when(F.col("level") == 1, F.sum("n").over(siblings)).alias("total"),
+            "part",
+            F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead"),
+            F.sum("n").over(Window.partitionBy()).alias("total"),
         )
     )
-    within = F.row_number().over(Window.partitionBy(full).orderBy(key)) - 1
+    within = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
     return (
-        ids.select(key, within.alias("within"))
-        .select(key, "within", F.explode(levels).alias("p"))
-        .select(key, "within", "p.level", "p.prefix")
-        .join(offsets, ["level", "prefix"])
-        .groupBy(column)
-        .agg((F.max("within") + F.sum("ahead")).cast("bigint").alias("position"), F.max("total").alias("total"))
+        placed.select(key, "part", within.alias("within"))
+        .join(ranges, "part")
+        .select(column, (F.col("within") + F.col("ahead")).cast("bigint").alias("position"), "total")
     )
 
 

@@ -1,4 +1,4 @@
-"""Session settings the library is tuned for, and the checkpoint folder."""
+"""Session settings the library is tuned for."""
 
 from __future__ import annotations
 
@@ -19,10 +19,3 @@ def configure(builder: SparkSession.Builder, **extra: str) -> SparkSession.Build
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder
-
-
-def use_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
-    """Shared checkpoint folder of the cluster; the fallback only where none is configured."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or fallback
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder

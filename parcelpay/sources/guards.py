@@ -7,17 +7,15 @@ from pyspark.sql import functions as F
 
 from parcelpay.functions.sql import name as quoted
 from parcelpay.functions.text import strip
+from parcelpay.sources.headers import Role
 
 
 def looks_like_dispatch(columns: list[str]) -> bool:
-    """True for a "return" sheet that carries delivery columns and nothing about returns."""
-    lowered = {c.strip().lower() for c in columns}
-    delivery = (
-        "delivery signature" in lowered
-        and bool(lowered & {"waybill number", "waybill"})
-        and bool(lowered & {"dispatcher id", "dispatcher_id"})
-    )
-    return delivery and not any("return" in c for c in lowered)
+    """True for a "return" sheet that carries the columns of a delivery and none about returns."""
+    if any("return" in c.lower() for c in columns):
+        return False
+    roles = (Role(("Delivery Signature",)), Role(("Waybill Number", "Waybill")), Role(("Dispatcher ID", "dispatcher_id")))
+    return all(role.find(columns) is not None for role in roles)
 
 
 def same_headers(a: DataFrame, b: DataFrame) -> bool:

@@ -68,9 +68,19 @@ def test_optional_sheets_count_as_empty(spark, frame):
     assert set(book.sheets) == {"dispatch"}
     report = {r.sheet: (r["rows"], r.is_missing) for r in book.missing_report().collect()}
     assert set(report) == set(SHEETS) - {"dispatch"} and set(report.values()) == {(0, True)}
+    reasons = {r.sheet: r.reason for r in book.missing_report().collect()}
+    assert reasons["cod"].startswith("header not recognised: ") and reasons["return"] == "dispatch columns" and reasons["reward"] == "absent"
     assert book["dispatch"].first().dispatcher_name == "Unknown"
 
 
+def test_copied_sheet_is_emptied_by_default(spark, frame):
+    same = "Dispatcher ID, Waybill, Delivery Signature", ("1", "a", "2024-01-01")
+    raw = {"dispatch": frame(*same), "bulky": frame(*same)}
+    book = Workbook.from_raw(spark, raw)
+    assert book["bulky"].isEmpty() and {r.sheet: r.reason for r in book.missing_report().collect()}["bulky"] == "no rows"
+    assert Workbook.from_raw(spark, raw, guard_copies=False)["bulky"].count() == 1
+
+
 def test_unknown_sheet(spark, frame):
     with pytest.raises(ValueError, match="unknown sheet"):
         Workbook.from_raw(spark, {"dispach": frame("a", ("1",))})
@@ -184,13 +194,6 @@ def test_rules_from_dict():
     assert Rules.from_dict({}) == Rules()
 
 
-def test_checkpoint_dir_of_the_session_wins(spark, tmp_path):
-    from parcelpay.session import use_checkpoint_dir
-
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    assert use_checkpoint_dir(spark, str(tmp_path)) == (configured or str(tmp_path))
-
-
 def test_periods_stay_and_undated_sheets(spark, tmp_path):
     rows = spark.createDataFrame([("1", 5)], "dispatcher_id string, amount int")
     for period in ("2024-01", "2024-02"):

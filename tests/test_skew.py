@@ -78,9 +78,11 @@ def test_positions_with_shared_prefixes(spark):
         + [f"SAMEPREFIXANDMORE{i}" for i in range(50)]
         + ["A", "AA", "AAA", "AAAA", "SAMEPREFIXAN", "SAMEPREFIXAND"]
     )
-    rows = ordinal_positions(spark.createDataFrame([(i,) for i in ids], "k string"), "k").collect()
-    assert {r.k: r.position for r in rows} == {k: n for n, k in enumerate(sorted(ids))}
-    assert {r.total for r in rows} == {len(ids)}
+    frame = spark.createDataFrame([(i,) for i in ids], "k string")
+    for splits in (1000, 20):
+        rows = ordinal_positions(frame, "k", splits).collect()
+        assert {r.k: r.position for r in rows} == {k: n for n, k in enumerate(sorted(ids))}
+        assert {r.total for r in rows} == {len(ids)}
 
 
 def test_hot_penalty_dispatcher(spark):

@@ -246,7 +246,7 @@ _sql("database_dispatch", f"""
     SELECT k dispatcher_key, 'Unknown' dispatcher_name, {ROWS}, count(DISTINCT wb) waybills,
            (SELECT CAST(sum(l_quantity) AS DOUBLE) FROM lineitem WHERE CAST(l_suppkey AS VARCHAR) = k) weight
     FROM dispatch GROUP BY k""")
-_sql("missing_sheets", "SELECT sheet, rows, rows = 0 is_missing FROM (" + " UNION ALL ".join(
+_sql("missing_sheets", "SELECT sheet, rows, rows = 0 is_missing, CASE WHEN sheet = 'hub' THEN 'absent' WHEN rows = 0 THEN 'no rows' END reason FROM (" + " UNION ALL ".join(
     f"SELECT '{s}' sheet, CAST(count(*) AS BIGINT) rows FROM {src}" for s, src in (
         ("pickup", "pickup"), ("return", "ret"), ("bulky", "bulky"), ("reward", "sup"), ("rental", "sup"),
         ("attendance", "ev WHERE t = 'signup'"), ("duitnow", "ev WHERE t = 'signup'"), ("ldr", "ev WHERE t = 'purchase'"),
