@@ -56,25 +56,23 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache_words = cache_words
-        self.words: dict[str, np.ndarray] = {}
+        self.words: dict[str, bytes] = {}  # ids as int32
         self.pieces: dict[str, list[int]] = {}
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.words) + len(words) > self.cache_words:
-            self.words.clear()
         rest = []
         for w in words:
             # Blanks never cross a word and lower-casing is all the normalizer does to composed Latin letters, so the
             # model may be asked for each piece of such a word.
             if _PLAIN.fullmatch(w) and "<|" not in w and unicodedata.is_normalized("NFC", w):
                 ids = [i for p in _PIECES.findall(w.lower()) for i in (self.pieces.get(p) or self._piece(p))]
-                self.words[w] = np.array(ids, np.int32)
+                self.words[w] = np.array(ids, np.int32).tobytes()
             else:
                 rest.append(w)
         for i in range(0, len(rest), 20_000):
             part = rest[i : i + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.words[w] = np.array(e.ids, np.int32)
+                self.words[w] = np.array(e.ids, np.int32).tobytes()
 
     def _piece(self, piece: str) -> list[int]:
         if len(self.pieces) >= self.cache_words:
@@ -87,15 +85,18 @@ class WordEncoder:
         if _RARE_WHITE.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
         words = text.split()
-        unknown = [w for w in set(words) if w not in self.words]
-        if unknown:
-            before = len(self.words)
-            self._learn(unknown)
-            if len(self.words) < before:
-                self._learn([w for w in set(words) if w not in self.words])
         if not words:
             return np.empty(0, np.int32)
-        return np.concatenate([self.words[w] for w in words])
+        try:
+            return np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.int32)
+        except KeyError:
+            distinct = set(words)
+            unknown = distinct.difference(self.words)
+            if len(self.words) + len(unknown) > self.cache_words:
+                self.words.clear()
+                unknown = distinct
+            self._learn(list(unknown))
+        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.int32)
 
 
 def _encode(path: str, end_id: int):

@@ -283,3 +283,12 @@ def test_pipeline(spark):
         docs = out
         names.append(name)
     assert counts == sorted(counts, reverse=True) and len(names) == 5
+
+
+def test_word_cache_smaller_than_one_text():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, whole = token_files.WordEncoder(path, cache_words=5), Tokenizer.from_file(path)
+    for text in ("one two", "three one four", " ".join(WORDS), "two one", "", " "):
+        assert encoder.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids
