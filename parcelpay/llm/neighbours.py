@@ -4,7 +4,9 @@ Inner products become Euclidean distances by one more component: candidates get
 norm), queries 0. Each of ``tables`` hashes a vector by ``hashes`` values ``floor((a.x + b) / width)``. A query visits
 its own bucket and perturbed ones in order of the estimated chance of success (squared distances to the bucket's
 borders). Buckets meet queries in blocks: a large bucket is salted over its candidates and its queries go to every
-block. A task keeps the best ``k`` per query over all its blocks; tables are merged and ranked once more.
+block. A task keeps the best ``k`` per query over all its blocks; tables are merged by pair and ranked once more. A
+block's matrix product only chooses; the score of a chosen pair is summed column by column, so that a pair has the same
+score to the last bit in every block.
 """
 
 from __future__ import annotations
@@ -73,6 +75,11 @@ def _hash(dim: int, scale: float, tables: int, hashes: int, width: float, probes
     return run
 
 
+def _scores(x: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products summed in the order of the columns, whatever the number of rows (a running sum is never paired)."""
+    return np.cumsum(x * query, axis=1)[:, -1]
+
+
 def _search(k: int):
     schema = pa.schema([("query", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
 
@@ -82,17 +89,19 @@ def _search(k: int):
 
         def block(ids: np.ndarray, x: np.ndarray) -> None:
             q = np.stack(vectors)
+            # More than the rounding by which two orders of summation differ.
+            slack = 4 * x.shape[1] * np.finfo(np.float64).eps * np.sqrt((x * x).sum(1).max())
             for i in range(0, len(q), 512):
-                scores = np.einsum("qd,cd->qc", q[i : i + 512], x, optimize=True)
-                for query, row in zip(queries[i : i + 512], scores, strict=True):
+                rough = np.einsum("qd,cd->qc", q[i : i + 512], x, optimize=True)
+                for query, vector, row in zip(queries[i : i + 512], q[i : i + 512], rough, strict=True):
                     old_ids, old = best.get(query, (ids[:0], row[:0]))
                     if len(row) > 4 * k:
                         cut = np.partition(row, -2 * k)[-2 * k]
-                        some = np.flatnonzero(row >= cut)
-                        row, near = row[some], ids[some]
+                        some = np.flatnonzero(row >= cut - slack * np.sqrt(vector @ vector))
+                        near, vectors_near = ids[some], x[some]
                     else:
-                        near = ids
-                    merged_ids, merged = np.concatenate([old_ids, near]), np.concatenate([old, row])
+                        near, vectors_near = ids, x
+                    merged_ids, merged = np.concatenate([old_ids, near]), np.concatenate([old, _scores(vectors_near, vector)])
                     merged_ids, where = np.unique(merged_ids, return_index=True)
                     merged = merged[where]
                     top = np.lexsort((merged_ids, -merged))[: k + 1]
@@ -161,7 +170,7 @@ def nearest(vectors: DataFrame, is_query, *, k: int = 20, tables: int = TABLES,
     q = probed.join(salted, "bucket").select("id", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda s: F.xxhash64("bucket", s))).alias("place"), F.lit(0).alias("kind"))
     float_heads = heads.select("id", F.expr("transform(x, c -> cast(c as float))").alias("v")) if _is_float(vectors, vector_col) else heads.select("id", F.col("x").alias("v"))
     dealt = c.unionByName(q).join(float_heads, "id").select("place", "kind", "id", "v").repartition("place").sortWithinPartitions("place", "kind")
-    found = store.put(dealt.mapInArrow(_search(k), "query long, id long, score double").distinct(), "found")
+    found = store.put(_merged(dealt.mapInArrow(_search(k), "query long, id long, score double")), "found")
 
     def top(best: DataFrame, who: DataFrame) -> DataFrame:
         """Rank once per distinct query vector: k + 1 places leave k beside any query's own row.
@@ -188,10 +197,15 @@ def nearest(vectors: DataFrame, is_query, *, k: int = 20, tables: int = TABLES,
     parts = max(1, -(-distinct.count() // block))
     qs = short.select("id").distinct().join(float_heads, "id").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("place"), F.lit(0).alias("kind"), "id", "v")
     cs = float_heads.select(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("place"), F.lit(1).alias("kind"), "id", "v")
-    full = cs.unionByName(qs).repartition("place").sortWithinPartitions("place", "kind").mapInArrow(_search(k), "query long, id long, score double").distinct()
-    again = top(full, short)
+    full = cs.unionByName(qs).repartition("place").sortWithinPartitions("place", "kind").mapInArrow(_search(k), "query long, id long, score double")
+    again = top(_merged(full), short)
     return result.join(short, "query_id", "left_anti").unionByName(again)
 
 
+def _merged(found: DataFrame) -> DataFrame:
+    """One row per pair, however many tables and tasks found it."""
+    return found.groupBy("query", "id").agg(F.max("score").alias("score"))
+
+
 def _is_float(vectors: DataFrame, name: str) -> bool:
     return vectors.schema[name].dataType.simpleString() == "array<float>"

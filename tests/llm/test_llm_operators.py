@@ -244,6 +244,32 @@ def test_neighbours(spark):
     assert len(few) == 4 and neighbours.nearest(df.limit(0), lambda c: F.col(c) == 0).count() == 0
 
 
+def test_neighbours_pair_found_by_many_tasks(spark):
+    """Before, a pair scored in blocks of different shapes took several ranks of its query."""
+    r = np.random.Generator(np.random.PCG64(4))
+    x = r.normal(size=(1500, 64)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        got = neighbours.nearest(rows, lambda c: F.col(c) % 20 == 0, k=20, tables=8, block=37).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert Counter(g["query_id"] for g in got) == Counter({q: 20 for q in range(0, 1500, 20)})
+    assert len({(g["query_id"], g["vec_id"]) for g in got}) == len(got)
+
+
+def test_neighbours_scores_do_not_depend_on_the_block():
+    r = np.random.Generator(np.random.PCG64(5))
+    x = r.normal(size=(3000, 64))
+    whole = neighbours._scores(x, x[0])
+    for n in (1, 2, 7, 37, 512, 2000):
+        assert np.array_equal(neighbours._scores(x[-n:], x[0]), whole[-n:])
+
+
 def test_quality(spark):
     r = random.Random(4)
     good = [" ".join(r.choice(WORDS) for _ in range(40)) + "." for _ in range(80)]
