@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parcelpay.llm import exact_dedup, language, near_dedup, packing, quality
+from parcelpay.llm import exact_dedup, language, near_dedup, quality
 from parcelpay.llm.common import Store
-from parcelpay.llm.queries import ship
+from parcelpay.llm.queries import pack_tokens, ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -62,9 +62,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every document piece in the packed sequences."""
+    """The place of every document piece, in token ids, in the packed sequences."""
     ship(spark)
-    return packing.best_fit_packing(docs)
+    return pack_tokens(spark, docs)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -99,16 +99,20 @@ class WordEncoder:
         return np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.int32)
 
 
+def _encoder(path: str) -> WordEncoder:
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def _encode(path: str, end_id: int):
     schema = pa.schema([("doc_id", pa.int64()), ("part_start", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if path not in _encoders:
-            _encoders[path] = WordEncoder(path)
-        encoder, start, end = _encoders[path], 0, np.array([end_id], np.int32)
+        encoder, start, end = _encoder(path), 0, np.array([end_id], np.int32)
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
@@ -122,6 +126,22 @@ def _encode(path: str, end_id: int):
     return run
 
 
+def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and n_tokens of every row, as the token files have them: the ids of the whole text (null: empty) and the
+    end id. The ids themselves are not kept. Other columns are ignored."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(tokenizer)
+        for batch in batches:
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                n = [len(encoder.encode(t)) + 1 for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64())], schema=schema)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text (null: empty), append ``end_id`` and write doc_id, part_start, n_tokens and ids.
 

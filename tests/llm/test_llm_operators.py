@@ -222,6 +222,26 @@ def test_packing(docs, texts):
     assert packing.pack([10, 6, 5, 11], (16, 32))[2] in ([32], [16, 16]) and packing.best_fit_packing(docs.limit(0)).count() == 0
 
 
+def test_packing_counts_token_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from parcelpay.llm.queries import QUERIES
+
+    texts = [(1, "don't unbelievably overlengthened words"), (2, "没有空格的中文文本" * 900), (3, "x" * 50_000), (4, None), (5, ""), (6, "ไม่มีช่องว่าง")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    expected = {i: len(whole.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in texts}
+    for out in (QUERIES["op8_packing"](spark, str(tmp_path)), corpus_pipeline.best_fit(spark, df, str(tmp_path))):
+        rows, tokens, held = out.collect(), Counter(), Counter()
+        for r in rows:
+            tokens[r["doc_id"]] += r["length"]
+            held[r["shard"], r["bin"]] += r["length"]
+        assert tokens == expected and max(expected.values()) > 4096
+        assert all(held[r["shard"], r["bin"]] <= r["bin_size"] and r["length"] <= 4096 for r in rows)
+
+
 def test_neighbours(spark):
     r = np.random.Generator(np.random.PCG64(3))
     x = r.normal(size=(400, 8)).astype(np.float32)
