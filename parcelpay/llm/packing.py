@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 SIZES = (512, 1024, 2048, 4096)
 SHARD_PIECES = 20_000
+#: Equal rows that go to a shard together.
+COPIES = 64
 
 
 def bin_cost(size: int, overhead: float = 32.0, quadratic: float = 1 / 16384) -> float:
@@ -95,15 +97,18 @@ def best_fit_packing(docs: DataFrame, *, sizes: tuple[int, ...] = SIZES, shard_p
     """One row per piece: doc_id, piece, start, length, shard, bin, bin_size, bin_offset.
 
     (shard, bin) names a sequence of ``bin_size`` tokens that holds the piece from ``bin_offset`` on. Shards come from
-    a hash of document, piece and length, so that copies of one id spread by content; rows equal in these share one
-    shard. Packing is deterministic for given rows. Other columns are ignored.
+    a hash of document, piece and length, so that copies of one id spread by content; rows equal in these are counted
+    and dealt by ``COPIES`` with a running number. Packing is deterministic for given rows. Other columns are ignored.
     """
     pieces = pieces_of(docs, max(sizes), id_col=id_col, text_col=text_col, length_col=length_col)
-    shards = max(1, -(-docs.count() // shard_pieces))
-    keyed = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards)))
+    shards = max(1, -(-pieces.count() // shard_pieces))
+    equal = pieces.groupBy("doc_id", "piece", "start", "length").agg(F.count("*").alias("n"))
+    lots = equal.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES).cast("long"))))
+    lots = lots.withColumn("copies", F.least(F.col("n") - F.col("lot") * COPIES, F.lit(COPIES)).cast("long"))
+    keyed = lots.select("doc_id", "piece", "start", "length", "copies", F.pmod(F.xxhash64("doc_id", "piece", "length", "lot"), F.lit(shards)).alias("shard"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        pdf = pdf.loc[pdf.index.repeat(pdf["copies"])].drop(columns="copies").sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         bins, offsets, final = pack(pdf["length"].tolist(), sizes)
         return pdf.assign(bin=pd.Series(bins, dtype="int64"), bin_size=pd.Series([final[b] for b in bins], dtype="int64"), bin_offset=pd.Series(offsets, dtype="int64"))
 

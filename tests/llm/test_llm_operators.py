@@ -242,6 +242,16 @@ def test_packing_counts_token_ids(spark, tmp_path):
         assert all(held[r["shard"], r["bin"]] <= r["bin_size"] and r["length"] <= 4096 for r in rows)
 
 
+def test_packing_shards_by_pieces_and_copies(spark):
+    long = spark.createDataFrame([(1, 64 * 1000)], "doc_id long, n long")
+    rows = packing.best_fit_packing(long, sizes=(16, 64), shard_pieces=100, length_col="n").collect()
+    assert sorted(r["piece"] for r in rows) == list(range(1000)) and max(Counter(r["shard"] for r in rows).values()) < 200
+    copies = spark.createDataFrame([(None, 0)] * 5000 + [(i, 3) for i in range(100)], "doc_id long, n long")
+    rows = packing.best_fit_packing(copies, sizes=(16, 64), shard_pieces=1000, length_col="n").collect()
+    assert Counter(r["length"] for r in rows) == {0: 5000, 3: 100}
+    assert len({r["shard"] for r in rows if r["length"] == 0}) > 3 and sum(r["doc_id"] is None for r in rows) == 5000
+
+
 def test_neighbours(spark):
     r = np.random.Generator(np.random.PCG64(3))
     x = r.normal(size=(400, 8)).astype(np.float32)
