@@ -2,17 +2,22 @@
 
 The model is trained by Spark ML on varied template paragraphs against a bounded sample of the corpus's own paragraphs.
 Its features are the word n-grams of the templates that the sample hardly uses, so a paragraph without any feature word
-scores as no licence; such paragraphs are passed over before n-grams are made. DataFrame functions only.
+scores as no licence; such paragraphs are passed over before n-grams are made. Every line is scored, and every run of
+neighbouring lines (or of pieces of long lines) up to a blank line that can be confirmed; of runs that overlap the one
+most similar to its template stays. DataFrame functions only.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelpay.llm.common import Store
@@ -35,6 +40,11 @@ SAMPLE_PARAGRAPHS = 3000
 COMMON_SHARE = 0.01
 CONFIRM = 0.6
 RIDGE = 0.002
+#: Lines longer than this many words are also scored in pieces; a run has as many words as the longest template and a
+#: piece too many on either side.
+PIECE_WORDS = 16
+#: Pieces of a text that are searched for runs in one row.
+BLOCK_PIECES = 512
 
 
 def words_of(c: Column) -> Column:
@@ -61,6 +71,72 @@ def paragraphs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), lines.alias("paragraph", "body")).where(F.trim("body") != "")
 
 
+def _least_words(grams: list[str]) -> int:
+    """Different words without which a text has less than ``CONFIRM`` of the n-grams: every n-gram ends in one word."""
+    ends = Counter(g.rsplit(" ", 1)[-1] for g in grams)
+    found = 0
+    for n, (_, k) in enumerate(ends.most_common(), 1):
+        found += k
+        if found >= CONFIRM * len(grams):
+            return n
+    return len(ends)
+
+
+def _runs(docs: DataFrame, templates: list[list[str]], features: list[str], id_col: str, text_col: str) -> DataFrame:
+    """doc_id, paragraph, key, first, last and words of the runs of two or more pieces that could be confirmed.
+
+    ``paragraph`` is the line a run starts in; ``first`` and ``last`` number its pieces by line and place in the line.
+    """
+    single = [sorted({g for g in t if " " not in g}) for t in templates]
+    longest = max(len([g for g in t if g.count(" ") == 2]) + 2 for t in templates) + 2 * PIECE_WORDS
+
+    def possible(words: Column) -> Column:
+        return reduce(or_, [F.size(F.array_intersect(_constant(w), words)) >= _least_words(t) for w, t in zip(single, templates, strict=True)])
+
+    def pieces(line: Column, i: Column) -> Column:
+        words = words_of(line)
+        each = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(words), F.lit(1)) - 1) / PIECE_WORDS).cast("int")), lambda j: F.struct(F.shiftleft(i.cast("long"), 24) + j, F.slice(words, j * PIECE_WORDS + 1, PIECE_WORDS)))
+        return each.cast("array<struct<at:bigint,w:array<string>>>")
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.flatten(F.transform(F.split(text, "\n"), pieces)).alias("pieces"))
+    starts = F.sequence(F.lit(0), F.floor((F.size("pieces") - 1) / BLOCK_PIECES).cast("int"))
+    rows = rows.select("doc_id", "key", F.explode(F.transform(starts, lambda b: F.slice("pieces", b * BLOCK_PIECES + 1, BLOCK_PIECES + longest))).alias("pieces"))
+    rows = rows.where(F.arrays_overlap(F.flatten(F.transform("pieces", lambda u: u["w"])), _constant(features)))
+
+    # The pieces from each start up to a line without words or the bound.
+    def more(state: Column, u: Column) -> Column:
+        n = state["n"] + F.size(u["w"])
+        going = state["going"] & (F.size(u["w"]) > 0) & (n <= longest)
+        return F.struct(going.alias("going"), F.when(going, n).otherwise(state["n"]).alias("n"), (state["m"] + going.cast("int")).alias("m"))
+
+    def window(i: Column) -> Column:
+        near = F.slice("pieces", i + 1, longest)
+        zero = F.struct(F.lit(True).alias("going"), F.lit(0).alias("n"), F.lit(0).alias("m"))
+        return F.slice("pieces", i + 1, F.aggregate(near, zero, more)["m"])
+
+    windows = F.transform(F.sequence(F.lit(0), F.least(F.size("pieces"), F.lit(BLOCK_PIECES)) - 1), window)
+    rows = rows.select("doc_id", "key", F.explode(windows).alias("run")).where(F.size("run") > 1)
+    words = F.flatten(F.transform("run", lambda u: u["w"]))
+    rows = rows.withColumn("all", words).where(F.arrays_overlap("all", _constant(features)) & possible(F.col("all"))).drop("all")
+    rows = rows.select("doc_id", "key", F.explode(F.transform(F.sequence(F.lit(2), F.size("run")), lambda m: F.slice("run", 1, m))).alias("run"))
+    rows = rows.select("doc_id", F.shiftright(F.col("run")[0]["at"], 24).cast("int").alias("paragraph"), "key", F.col("run")[0]["at"].alias("first"), F.element_at("run", -1)["at"].alias("last"), words.alias("words"))
+    return rows.where(F.arrays_overlap("words", _constant(features)) & possible(F.col("words")))
+
+
+def _best_runs(rows: DataFrame) -> DataFrame:
+    """Of runs that overlap in a text the best: confirmed, most similar, fewest words. Runs are taken from the best on."""
+    text = ["doc_id", "key"]
+    before = Window.partitionBy(*text).orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
+    new = (F.col("first") > F.coalesce(F.max("last").over(before), F.lit(-1))).cast("int")
+    rows = rows.withColumn("new", new).withColumn("island", F.sum("new").over(Window.partitionBy(*text).orderBy("first", "last").rowsBetween(Window.unboundedPreceding, 0)))
+    out = ["paragraph", "family", "probability", "similarity", "confirmed"]
+    rank = F.struct((~F.col("confirmed")).alias("a"), (-F.col("similarity")).alias("b"), F.col("n_words").alias("c"), (-F.col("probability")).alias("d"), "first", "last", *out)
+    islands = rows.groupBy(*text, "island").agg(F.sort_array(F.collect_list(rank)).alias("runs"))
+    kept = F.aggregate("runs", F.slice("runs", 1, 0), lambda k, r: F.when(F.exists(k, lambda o: (o["first"] <= r["last"]) & (r["first"] <= o["last"])), k).otherwise(F.concat(k, F.array(r))))
+    return islands.select("doc_id", F.explode(kept).alias("r")).select("doc_id", *[F.col(f"r.{c}").alias(c) for c in out])
+
+
 def _variants(text: str) -> list[str]:
     """The statement itself, without each single word, and with words of a sentence around it."""
     w = text.split()
@@ -121,7 +197,7 @@ def train_licenses(docs: DataFrame, *, sample: int = SAMPLE_PARAGRAPHS, id_col:
 
 
 def scan_licenses(docs: DataFrame, model: LicenseModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per paragraph that reads as a licence: doc_id, paragraph, family, probability, similarity, confirmed.
+    """One row per run of lines that reads as a licence (``paragraph``: its first line): doc_id, paragraph, family, probability, similarity, confirmed.
 
     A licence whose best family stays below the calibrated cut is ``unknown``. ``similarity`` is the share of the
     n-grams of the family's nearest template that the paragraph has; ``confirmed`` asks for ``CONFIRM``. Null and empty
@@ -130,17 +206,21 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, *, id_col: str = "doc_id
     spark, names, n = docs.sparkSession, model.families, len(model.families)
     # One row per feature: bounded by the templates.
     weights = spark.createDataFrame([(g, w) for g, w in model.weights.items()], "gram string, w array<double>")
-    rows = paragraphs(docs, id_col=id_col, text_col=text_col).withColumn("words", words_of(F.col("body"))).where(F.arrays_overlap("words", _constant(model.words)))
-    rows = rows.withColumn("grams", grams_of(F.col("words")))
-    similar = []
-    for family in names[:-1]:
-        templates = [F.split(F.lit(x), "\x1f") for x in _template_grams(spark, family)]
-        similar.append(F.array_max(F.array(*[F.size(F.array_intersect(g, F.col("grams"))) / F.size(g) for g in templates])))
-    rows = rows.withColumn("similar", F.array(*similar))
+    by_family = {family: [x.split("\x1f") for x in _template_grams(spark, family)] for family in names[:-1]}
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.posexplode(F.split(text, "\n")).alias("paragraph", "body")).where(F.trim("body") != "")
+    lines = lines.withColumn("words", words_of(F.col("body"))).where(F.arrays_overlap("words", _constant(model.words)))
+    at = F.shiftleft(F.col("paragraph").cast("long"), 24)
+    lines = lines.select("doc_id", "paragraph", "key", at.alias("first"), (at + (1 << 24) - 1).alias("last"), "words")
+    runs = _runs(docs, [t for ts in by_family.values() for t in ts], model.words, id_col, text_col)
+    rows = lines.withColumn("line", F.lit(True)).unionByName(runs.withColumn("line", F.lit(False))).withColumn("grams", grams_of(F.col("words")))
+    similar = [F.array_max(F.array(*[F.size(F.array_intersect(_constant(t), F.col("grams"))) / len(t) for t in ts])) for ts in by_family.values()]
+    rows = rows.withColumn("similar", F.array(*similar)).where(F.col("line") | (F.array_max("similar") >= CONFIRM))
     known = F.array_intersect("grams", _constant(list(model.weights)))
-    each = rows.select("doc_id", "paragraph", F.xxhash64("body").alias("key"), "similar", F.posexplode(known).alias("nth", "gram")).join(weights, "gram")
+    run = ["doc_id", "key", "first", "last", "paragraph"]
+    each = rows.select(*run, "similar", F.size("words").alias("n_words"), F.posexplode(known).alias("nth", "gram")).join(weights, "gram")
     copies = F.count_if(F.col("nth") == 0)  # rows repeating id and text
-    sums = each.groupBy("doc_id", "paragraph", "key").agg(F.first("similar").alias("similar"), *[(F.sum(F.col("w")[i]) / copies + model.bias[i]).alias(f"s{i}") for i in range(n)])
+    sums = each.groupBy(*run).agg(F.first("similar").alias("similar"), F.first("n_words").alias("n_words"), *[(F.sum(F.col("w")[i]) / copies + model.bias[i]).alias(f"s{i}") for i in range(n)])
     scores = [F.col(f"s{i}") for i in range(n)]
     chances = [F.exp((s - F.greatest(*scores)) / model.temperature) for s in scores]
     total = sum(chances[1:], chances[0])
@@ -149,7 +229,7 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, *, id_col: str = "doc_id
     rows = rows.withColumn("probability", F.array_max(licence)).withColumn("guess", F.array_position(licence, F.col("probability")).cast("int"))
     rows = rows.withColumn("similarity", F.element_at("similar", F.col("guess")))
     family = F.when(F.col("probability") >= model.cut, F.element_at(F.lit(names), F.col("guess"))).otherwise(UNKNOWN)
-    return rows.select("doc_id", "paragraph", family.alias("family"), "probability", "similarity", ((F.col("probability") >= model.cut) & (F.col("similarity") >= CONFIRM)).alias("confirmed"))
+    return _best_runs(rows.select(*run, "n_words", family.alias("family"), "probability", "similarity", ((F.col("probability") >= model.cut) & (F.col("similarity") >= CONFIRM)).alias("confirmed"))).select("doc_id", "paragraph", "family", "probability", "similarity", "confirmed")
 
 
 def _template_grams(spark: SparkSession, family: str) -> list[str]:

@@ -112,6 +112,19 @@ def test_licenses(spark):
     assert {(x["doc_id"], x["paragraph"], x["family"], x["confirmed"]) for x in got} == {(i, 1, f, True) for i, (f, _) in named.items()} | {(None, 0, "MIT", True)}
 
 
+def test_licenses_wrapped(spark):
+    import textwrap
+
+    r = random.Random(6)
+    plain = [" ".join(r.choice(WORDS) for _ in range(12)) for _ in range(60)]
+    notices = {(i, f): textwrap.fill(licenses.TEMPLATES[f][-1], 68 if i < 110 else 40, initial_indent=" * ", subsequent_indent=" * ") for i, f in ((100, "MIT"), (101, "GPL-3.0"), (102, "BSD"), (110, "MIT"), (111, "GPL-3.0"), (112, "BSD"))}
+    rows = list(enumerate(plain)) + [(i, f"{plain[0]}\n{plain[1]}\n\n{t}\n\n{plain[2]}\n") for (i, _), t in notices.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = licenses.scan_licenses(df, licenses.train_licenses(df)).collect()
+    assert {(x["doc_id"], x["paragraph"], x["family"]) for x in got if x["confirmed"]} >= {(i, 3, f) for i, f in notices}
+    assert all(x["family"] == f for x in got if x["confirmed"] for i, f in notices if i == x["doc_id"])
+
+
 def brute_components(texts, size, percent):
     sets = {}
     for i, t in texts:
