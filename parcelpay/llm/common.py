@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +48,35 @@ def splittable(keys: DataFrame, *names: str) -> DataFrame:
     packed = keys.select(F.struct(*names).alias("k"), *rest)
     packed = packed.groupBy("k").agg(*[F.min(c).alias(c) for c in rest]) if rest else packed.distinct()
     return packed.select(*[F.col(f"k.{n}").alias(n) for n in names], *rest)
+
+
+def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 4 << 20, max_rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The batch cut so that a slice holds about ``max_bytes`` of one text or list column; a longer value stands alone.
+
+    What a worker turns into Python objects at a time is thus bounded by bytes, not by a number of rows.
+    """
+    values = batch.column(column)
+    ends = values.offsets.to_numpy() if pa.types.is_list(values.type) else np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+    width = 1 if not pa.types.is_list(values.type) else 8
+    first = 0
+    while first < batch.num_rows:
+        last = int(np.searchsorted(ends, ends[first] + max_bytes // width, side="right")) - 1
+        last = min(max(last, first + 1), first + max_rows, batch.num_rows)
+        yield batch.slice(first, last - first)
+        first = last
+
+
+def usable(vector: str, kind: str = "array<double>") -> Column:
+    """Is the vector there, with finite components only? Empty vectors are."""
+    v = F.col(vector).cast(kind)
+    return v.isNotNull() & ~F.coalesce(F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))), F.lit(False))
+
+
+def whole_components(vector: str, room: int) -> Column:
+    """Components as integers floor(256 * x), taken to the nearest of +-sqrt(room / length) where they lie beyond.
+
+    ``room`` bounds the sum of squares over all components, so that later sums fit the integers they are made in.
+    """
+    v = F.col(vector).cast("array<double>")
+    limit = F.floor(F.sqrt(F.lit(float(room)) / F.greatest(F.size(v), F.lit(1)))).cast("double")
+    return F.transform(v, lambda c: F.floor(F.least(F.greatest(c * 256.0, -limit), limit)).cast("long"))

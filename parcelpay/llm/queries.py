@@ -11,7 +11,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelpay.llm import byte_bpe, chat, exact_dedup, language, licenses, near_dedup, neighbours, packing, quality, token_files
+from parcelpay.llm import (
+    byte_bpe, chat, exact_dedup, hard_negatives, language, licenses, near_dedup, neighbours, packing, pii, quality, token_files, vector_codes,
+)
 from parcelpay.llm.common import Store
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -140,3 +142,72 @@ def op10_quality(spark, d):
     labels = spark.read.parquet(f"{d}/labels.parquet")
     model = quality.train_quality(docs.where("not held_out"), labels)
     return quality.score_quality(docs, model, keys=["doc_id", "held_out"])
+
+
+@query
+def op11_pii(spark, d):
+    return pii.pii_digest(pii.find_pii(_documents(spark, d)))
+
+
+@query
+def op12_vector_codes(spark, d):
+    codes = vector_codes.with_label_error(vector_codes.compress(spark.read.parquet(f"{d}/embeddings.parquet")))
+    return codes.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _codes_sql(rounds: int) -> str:
+    """Rounds of assignment and means, then the final assignment, over rows (vec_id, part, x) of whole components."""
+    nearest = """
+a{r} AS MATERIALIZED (SELECT row_id, part, entry, d FROM (
+    SELECT p.row_id, p.part, b.entry, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d,
+           row_number() OVER (PARTITION BY p.row_id, p.part ORDER BY d, b.entry) AS n
+    FROM parts p JOIN b{r} b USING (part)) WHERE n = 1),"""
+    means = """
+m{r} AS (SELECT part, entry, list(v ORDER BY i) AS x FROM (
+    SELECT part, entry, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS v
+    FROM a{r} JOIN parts USING (row_id, part), (SELECT unnest(range(1, 100)) AS i) WHERE i <= len(x) GROUP BY part, entry, i) GROUP BY part, entry),
+b{next} AS MATERIALIZED (SELECT part, entry, coalesce(m{r}.x, b{r}.x) AS x FROM b{r} LEFT JOIN m{r} USING (part, entry)),"""
+    steps = "".join(nearest.format(r=r) + means.format(r=r, next=r + 1) for r in range(rounds)) + nearest.format(r=rounds)
+    return f"""
+WITH kept AS MATERIALIZED (
+    SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS row_id,
+           list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+parts AS MATERIALIZED (
+    SELECT row_id, CAST(p AS BIGINT) AS part, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] AS x
+    FROM kept, (SELECT unnest(range(16)) AS p)),
+b0 AS MATERIALIZED (SELECT part, row_id - 1 AS entry, x FROM parts WHERE row_id <= 64),{steps}
+books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds}),
+codes AS (SELECT row_id, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY row_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM codes JOIN kept USING (row_id), books
+"""
+
+
+ORACLE["op12_vector_codes"] = _codes_sql(vector_codes.ROUNDS)
+
+
+@query
+def op13_hard_negatives(spark, d):
+    changed = lambda i, label: F.when(i % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(spark.read.parquet(f"{d}/embeddings.parquet"), lambda i: i % 100 == 0, relabel=changed)
+
+
+ORACLE["op13_hard_negatives"] = """
+WITH rows AS MATERIALIZED (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+scores AS MATERIALIZED (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+    FROM rows a JOIN rows b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM scores WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.id AS negative_id, positive_score, n.score AS negative_score
+FROM positives JOIN scores n USING (anchor_id)
+WHERE NOT n.same AND 80 * positive_score <= 100 * n.score AND 100 * n.score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.id)
+QUALIFY row_number() OVER w <= 5
+"""
