@@ -116,8 +116,8 @@ def is_designated(key: str, rule: DesignatedDriver) -> str:
 # -- tiered and designated daily pay -----------------------------------------------------------
 
 
-def tiered_daily_pay(daily: DataFrame, rules: Rules) -> DataFrame:
-    """Rate and pay per dispatcher and day.
+def tiered_daily_pay(daily: DataFrame, rules: Rules, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rate and pay per dispatcher and day, with the columns to keep.
 
     A special rate beats the tier. A designated driver is paid beyond the basic parcels of the
     running total instead of by tier; special-rate days pay all their parcels there, too.
@@ -142,6 +142,7 @@ def tiered_daily_pay(daily: DataFrame, rules: Rules) -> DataFrame:
         f"{tier_of('daily_parcels', rules.tiers)} AS t",
         f"{special_rate_of('delivery_date', 'daily_parcels', rules.special_rates)} AS s",
         f"{extra} AS extra",
+        *keep,
     )
     after_basic = rate(dd.rate_after_basic)
     return rated.selectExpr(
@@ -157,6 +158,7 @@ def tiered_daily_pay(daily: DataFrame, rules: Rules) -> DataFrame:
         f"""cast(CASE WHEN s IS NOT NULL THEN daily_parcels * s.rate
                       WHEN designated THEN round(extra * {after_basic}, 2)
                       ELSE daily_parcels * t.rate END AS decimal(20,4)) AS payout_per_day""",
+        *keep,
     )
 
 

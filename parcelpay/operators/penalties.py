@@ -12,6 +12,7 @@ from parcelpay.functions.numbers import MONEY, PARSED, round_money
 from parcelpay.functions.sql import case, literal, literals
 from parcelpay.operators.ranking import split_pool
 from parcelpay.operators.unions import union_all
+from parcelpay.sources.stage import Stage
 from parcelpay.sources.workbook import Workbook
 
 STATEMENT = "statement"
@@ -196,10 +197,10 @@ def penalty_totals(
     )
 
 
-def route_shares(dispatcher_keys: DataFrame, rules: Rules) -> DataFrame:
-    """(dispatcher_key, kind, amount, parcels) of the route pool split over the given dispatchers."""
+def route_shares(dispatcher_keys: DataFrame, rules: Rules, stage: Stage | None = None) -> DataFrame:
+    """(dispatcher_key, kind, amount, parcels) of the route pool split over the distinct dispatchers given."""
     cents = int((rules.route_pool * 100).to_integral_value())
-    shares = split_pool(dispatcher_keys, cents)
+    shares = split_pool(dispatcher_keys, cents, stage=stage)
     return shares.where("share > 0").selectExpr(
         "dispatcher_key", "'route' AS kind", "share AS amount", "1L AS parcels"
     )

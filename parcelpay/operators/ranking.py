@@ -5,22 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SPLITS = 1000
+from parcelpay.sources.stage import Stage
 
+#: monotonically_increasing_id() has the row's number within its partition in the lower 33 bits.
+_ROW_BITS = (1 << 33) - 1
 
-def ordinal_positions(ids: DataFrame, column: str, splits: int = SPLITS) -> DataFrame:
-    """(id, position, total): zero-based position of each distinct id in text order.
 
-    ``splits`` of the ids, the first by hash, cut the order into ranges of similar size, whatever
-    prefixes the ids share. A position is the number of ids in earlier ranges and of those in front
-    within the range. The split points depend on the ids alone, so a repeated task sees the same.
+def ordinal_positions(ids: DataFrame, column: str, stage: Stage | None = None) -> DataFrame:
+    """(id, position, total): zero-based position of each distinct id in text order; nulls first, if any.
+
+    Two passes. The first stores the distinct ids in ranges, sorted and numbered within each range. The second counts
+    the ranges, so that the number of ids in earlier ranges is added to a row's own number. The ranges are stored, since
+    they are sampled and another run of the same plan might cut them elsewhere.
     """
+    stage = stage or Stage(ids.sparkSession)
     key = F.col(column)
-    some = ids.select(key).orderBy(F.xxhash64(key), key).limit(splits)
-    points = some.agg(F.collect_list(key)).scalar()
-    ahead_of = F.size(F.filter("points", lambda p: p <= key))
-    placed = ids.select(key, points.alias("points")).select(key, ahead_of.alias("part"))
-    # One row per range: bounded by the split points.
+    ranged = ids.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key)
+    numbered = ranged.select(
+        key,
+        F.spark_partition_id().alias("part"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)).alias("within"),
+    )
+    placed = stage.put(numbered, "positions")
+    # One row per range, so this window never sees the ids.
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ranges = (
         placed.groupBy("part")
@@ -31,19 +38,17 @@ def ordinal_positions(ids: DataFrame, column: str, splits: int = SPLITS) -> Data
             F.sum("n").over(Window.partitionBy()).alias("total"),
         )
     )
-    within = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
-    return (
-        placed.select(key, "part", within.alias("within"))
-        .join(ranges, "part")
-        .select(column, (F.col("within") + F.col("ahead")).cast("bigint").alias("position"), "total")
+    return placed.join(ranges, "part").select(
+        column, (F.col("within") + F.col("ahead")).cast("bigint").alias("position"), "total"
     )
 
 
-def split_pool(ids: DataFrame, pool_cents: int, column: str = "dispatcher_key") -> DataFrame:
-    """Equal share of a pool per id, in cents that sum exactly to the pool.
+def split_pool(ids: DataFrame, pool_cents: int, column: str = "dispatcher_key", stage: Stage | None = None) -> DataFrame:
+    """Equal share of a pool per distinct id, in cents that sum exactly to the pool.
 
     Left-over cents go, one each, to the first ids in text order.
     """
     pool = F.lit(pool_cents).cast("bigint")
     cents = F.expr(f"{int(pool_cents)}L div total") + F.when(F.col("position") < pool % F.col("total"), 1).otherwise(0)
-    return ordinal_positions(ids, column).select(column, (cents / 100).cast("decimal(18,2)").alias("share"))
+    positions = ordinal_positions(ids, column, stage)
+    return positions.select(column, (cents / 100).cast("decimal(18,2)").alias("share"))

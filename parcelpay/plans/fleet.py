@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from parcelpay.config import Rules
 from parcelpay.functions.numbers import MONEY
-from parcelpay.functions.sql import literal
+from parcelpay.functions.sql import literal, literals
 from parcelpay.operators import delivery, extras, penalties
-from parcelpay.operators.overlap import net_dispatch
 from parcelpay.plans import measures as M
+from parcelpay.plans import spine as S
+from parcelpay.sources.stage import Stage
 from parcelpay.sources.workbook import Workbook
 
 TIERS = tuple(f"tier{n}" for n in range(1, 5))
@@ -19,44 +20,42 @@ EARNINGS = ("dispatch_payout", "pickup_payout", "return_payout", "bulky_payout",
 DEDUCTIONS = ("penalty_amount", "rental", "socso_deduction", "overpaid_deduction")
 
 
-def fleet_summary(book: Workbook, rules: Rules, net: DataFrame | None = None) -> DataFrame:
+def fleet_summary(book: Workbook, rules: Rules, spine: S.Spine | None = None, stage: Stage | None = None) -> DataFrame:
     """One row per dispatcher known to any sheet.
 
-    ``net`` is the net dispatch if the caller has it stored. It pays off with the route penalty,
-    which reads the delivering dispatchers before it can split the pool.
+    Every sheet is read once: the small parcel sheets are stored in ``stage`` first (see ``plans.spine``), unless the
+    caller has a spine of the same workbook and rules. A dispatcher is named by its net parcels, else by its other
+    parcels, else by any sheet that has a name for it.
     """
-    if net is None:
-        net = net_dispatch(book["dispatch"], book["return"], book["pickup"], book["bulky"])
-    pickup, returned, bulky = extras.countable(book["pickup"]), extras.countable(book["return"]), book["bulky"]
-    weight = "weight" if "weight" in net.columns else "cast(NULL AS double)"
+    stage = stage or Stage(book.spark)
+    spine = spine or S.build(book, rules, stage)
+    pickup, returned = extras.countable(spine.side("pickup")), extras.countable(spine.side("return"))
+    reward = book["reward"].where("amount > 0")
     parts = [
-        M.constant(book["dispatch"].select("dispatcher_key"), M.SEEN),
         M.entries(
-            net,
-            f"concat('tier', {delivery.weight_tier(weight, rules.weight_tiers)})",
-            amount=f"coalesce(cast({weight} AS decimal(18,6)), 0)",
-            flagged=f"{weight} IS NOT NULL",
-            name="dispatcher_name",
+            spine.dispatch, f"CASE WHEN net THEN concat('tier', tier) ELSE '{M.SEEN}' END",
+            amount="coalesce(cast(weight AS decimal(18,6)), 0)", flagged="weight IS NOT NULL", name="dispatcher_name",
         ),
-        M.constant(pickup, "pickup", amount=extras.pickup_commission(pickup, rules)),
+        M.constant(pickup, "pickup", amount="amount"),
         M.constant(returned, "return"),
-        M.constant(bulky, "bulky", amount=extras.bulky_rate(bulky, rules.bulky)),
+        M.constant(spine.side("bulky"), "bulky", amount="amount", name="dispatcher_name"),
         M.constant(book["rental"], "rental", amount="amount"),
-        *[
-            M.constant(book[name].where("amount > 0"), name, amount="amount")
-            for name in ("reward", "socso", "overpaid")
-        ],
+        M.constant(
+            reward, "reward", amount="amount", name="dispatcher_name" if "dispatcher_name" in reward.columns else "NULL"
+        ),
+        *[M.constant(book[name].where("amount > 0"), name, amount="amount") for name in ("socso", "overpaid")],
         M.penalty_entries(penalties.penalty_totals(book, rules, penalties.FLEET)),
     ]
-    if rules.route_fleet_enabled and rules.route_pool > 0:
-        delivering = net.select("dispatcher_key").where("dispatcher_key IS NOT NULL").distinct()
-        parts.append(M.penalty_entries(penalties.route_shares(delivering, rules)))
     kinds = [f"penalty:{k}" for k in penalties.KINDS]
+    known = "nullif(dispatcher_name, 'Unknown')"
     totals = (
         M.totalled(parts)
         .groupBy("dispatcher_key")
         .agg(
-            F.expr("coalesce(min(nullif(dispatcher_name, 'Unknown')), 'Unknown') AS dispatcher_name"),
+            F.expr(
+                f"coalesce(min(CASE WHEN measure IN ({literals(TIERS)}) THEN {known} END), "
+                f"min(CASE WHEN measure = '{M.SEEN}' THEN {known} END), min({known}), 'Unknown') AS dispatcher_name"
+            ),
             M.quantity_of(*TIERS, alias="parcels"),
             *[M.quantity_of(t, alias=f"{t}_parcels") for t in TIERS],
             M.amount_of(*TIERS, alias="total_weight"),
@@ -75,6 +74,8 @@ def fleet_summary(book: Workbook, rules: Rules, net: DataFrame | None = None) ->
             M.money_of("overpaid", alias="overpaid_deduction"),
         )
     )
+    if rules.route_fleet_enabled and rules.route_pool > 0:
+        totals = S.with_route_share(totals, "parcels > 0", "penalty_amount", rules, stage)
     delivered = "parcels + return_parcels + bulky_parcels"
     priced = totals.selectExpr(
         "dispatcher_key",

@@ -19,15 +19,20 @@ SEEN = "seen"
 
 
 def entries(
-    df: DataFrame, measure: str, quantity: str = "1", amount: str = "0", flagged: str = "false", name: str = "NULL"
+    df: DataFrame, measure: str, quantity: str = "1", amount: str = "0", flagged: str = "0", name: str = "NULL",
+    seen: str = "0",
 ) -> DataFrame:
-    """Rows of one source in the long form, from SQL expressions; rows without a dispatcher go."""
+    """Rows of one source in the long form, from SQL expressions; rows without a dispatcher go.
+
+    ``flagged`` is a condition, or a count where a row stands for several; ``seen`` counts rows of dispatch.
+    """
     return df.where("dispatcher_key IS NOT NULL").selectExpr(
         "dispatcher_key",
         f"{measure} AS measure",
         f"cast({quantity} AS bigint) AS quantity",
         f"cast({amount} AS {PARSED}) AS amount",
-        f"({flagged}) AS flagged",
+        f"cast(({flagged}) AS bigint) AS flagged",
+        f"cast({seen} AS bigint) AS seen",
         f"cast({name} AS string) AS dispatcher_name",
     )
 
@@ -51,7 +56,8 @@ def totalled(parts: list[DataFrame]) -> DataFrame:
             F.expr("count(1) AS rows"),
             F.expr("sum(quantity) AS quantity"),
             F.expr("sum(amount) AS amount"),
-            F.expr("count_if(flagged) AS flagged"),
+            F.expr("sum(flagged) AS flagged"),
+            F.expr("sum(seen) AS seen"),
         )
     )
 

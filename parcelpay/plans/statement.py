@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from parcelpay.config import Rules
 from parcelpay.functions.numbers import MONEY, round_money
@@ -11,6 +12,8 @@ from parcelpay.functions.text import dispatcher_key
 from parcelpay.operators import delivery, extras, penalties
 from parcelpay.operators.overlap import net_dispatch
 from parcelpay.plans import measures as M
+from parcelpay.plans import spine as S
+from parcelpay.sources.stage import Stage
 from parcelpay.sources.workbook import Workbook
 
 
@@ -24,20 +27,34 @@ def paid_days(book: Workbook, rules: Rules, count: str = "rows", net: DataFrame
     return delivery.tiered_daily_pay(delivery.daily_parcels(net, book["bulky"], count), rules)
 
 
-def statement(book: Workbook, rules: Rules, count: str = "rows", net: DataFrame | None = None) -> DataFrame:
-    """One row per dispatcher known to any sheet."""
-    pickup, returned = extras.countable(book["pickup"]), extras.countable(book["return"])
-    dispatchers = book["dispatch"].select("dispatcher_key").where("dispatcher_key IS NOT NULL").distinct()
+def _days(book: Workbook, rules: Rules, count: str, spine: S.Spine) -> list[DataFrame]:
+    """Entries of the daily pay and of the dispatchers seen."""
+    measure = "WHEN special_rate IS NULL THEN 'day' ELSE 'special_day' END"
+    values = dict(
+        quantity="daily_parcels", amount="payout_per_day", flagged=f"daily_parcels >= {rules.attendance.min_parcels_per_day}"
+    )
+    if count != "rows":
+        days = M.entries(paid_days(book, rules, count), f"CASE {measure}", **values)
+        return [days, M.constant(spine.dispatch, M.SEEN, seen="1")]
+    days = delivery.tiered_daily_pay(S.daily_parcels(spine), rules, keep=("dispatch_rows",))
+    return [M.entries(days, f"CASE WHEN daily_parcels = 0 THEN '{M.SEEN}' {measure}", seen="dispatch_rows", **values)]
+
+
+def statement(
+    book: Workbook, rules: Rules, count: str = "rows", spine: S.Spine | None = None, stage: Stage | None = None
+) -> DataFrame:
+    """One row per dispatcher known to any sheet.
+
+    Every sheet is read once: the small parcel sheets are stored in ``stage`` first (see ``plans.spine``), unless the
+    caller has a spine of the same workbook and rules. With the route penalty the totals are stored, too, before they
+    are split. ``count`` "distinct" counts distinct waybills a day; the parcel sheets are then read again for them.
+    """
+    stage = stage or Stage(book.spark)
+    spine = spine or S.build(book, rules, stage)
+    pickup, returned = extras.countable(spine.side("pickup")), extras.countable(spine.side("return"))
     parts = [
-        M.constant(dispatchers, M.SEEN),
-        M.entries(
-            paid_days(book, rules, count, net),
-            "CASE WHEN special_rate IS NULL THEN 'day' ELSE 'special_day' END",
-            quantity="daily_parcels",
-            amount="payout_per_day",
-            flagged=f"daily_parcels >= {rules.attendance.min_parcels_per_day}",
-        ),
-        M.constant(pickup, "pickup", amount=extras.pickup_commission(pickup, rules)),
+        *_days(book, rules, count, spine),
+        M.constant(pickup, "pickup", amount="amount"),
         M.constant(returned, "return"),
         *[
             M.constant(book[name].where("amount > 0"), name, amount="amount")
@@ -45,8 +62,6 @@ def statement(book: Workbook, rules: Rules, count: str = "rows", net: DataFrame
         ],
         M.penalty_entries(penalties.penalty_totals(book, rules, penalties.STATEMENT)),
     ]
-    if rules.route_statement_enabled and rules.route_pool > 0:
-        parts.append(M.penalty_entries(penalties.route_shares(dispatchers, rules)))
     days = ("day", "special_day")
     kinds = [f"penalty:{k}" for k in penalties.KINDS]
     totals = (
@@ -68,6 +83,7 @@ def statement(book: Workbook, rules: Rules, count: str = "rows", net: DataFrame
             M.quantity_of(*kinds, alias="penalty_count"),
             M.money_of("socso", alias="socso_deduction"),
             M.money_of("overpaid", alias="overpaid_deduction"),
+            F.expr("sum(seen) > 0 AS on_dispatch"),
         )
         .selectExpr(
             "*",
@@ -75,6 +91,8 @@ def statement(book: Workbook, rules: Rules, count: str = "rows", net: DataFrame
             f"{extras.return_value(rules)} AS return_payout",
         )
     )
+    if rules.route_statement_enabled and rules.route_pool > 0:
+        totals = S.with_route_share(totals, "on_dispatch", "penalty_total", rules, stage)
     return settle(delivery.with_bonuses(totals, rules), rules).select(
         "dispatcher_key",
         "designated",

@@ -78,11 +78,28 @@ def test_positions_with_shared_prefixes(spark):
         + [f"SAMEPREFIXANDMORE{i}" for i in range(50)]
         + ["A", "AA", "AAA", "AAAA", "SAMEPREFIXAN", "SAMEPREFIXAND"]
     )
-    frame = spark.createDataFrame([(i,) for i in ids], "k string")
-    for splits in (1000, 20):
-        rows = ordinal_positions(frame, "k", splits).collect()
-        assert {r.k: r.position for r in rows} == {k: n for n, k in enumerate(sorted(ids))}
-        assert {r.total for r in rows} == {len(ids)}
+    frame = spark.createDataFrame([(i,) for i in ids + ids[:100]], "k string").repartition(7)
+    rows = ordinal_positions(frame, "k").collect()
+    assert {r.k: r.position for r in rows} == {k: n for n, k in enumerate(sorted(ids))}
+    assert {r.total for r in rows} == {len(ids)} and len(rows) == len(ids)
+    assert ordinal_positions(frame.limit(0), "k").count() == 0
+
+
+def test_positions_of_many_ids_number_ranges_apart(spark):
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    ids = spark.range(0, 300_000, 1, 8).selectExpr("concat('D', id) AS k")
+    placed = ordinal_positions(ids, "k")
+    for k, v in before.items():
+        spark.conf.set(k, v)
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    windows = plan[plan.index("Window"):]
+    assert "Window" not in windows[windows.index("Aggregate [part"):]  # windows see a row per range
+    wrong = placed.selectExpr("position", "row_number() OVER (ORDER BY k) - 1 AS right").where("position <> right")
+    assert wrong.count() == 0
+    assert placed._jdf.queryExecution().executedPlan().toString().count("FileScan") == 2
 
 
 def test_hot_penalty_dispatcher(spark):
