@@ -12,6 +12,7 @@ from parcelpay.config import AttendanceRule, DesignatedDriver, Kpi, Rules, Speci
 from parcelpay.functions.numbers import MONEY, RATE, rate, round_money
 from parcelpay.functions.sql import case, literal
 from parcelpay.functions.text import dispatcher_key
+from parcelpay.sources.stage import Stage
 
 # -- parcels per day ---------------------------------------------------------------------------
 
@@ -77,29 +78,76 @@ def special_rate_of(day: str, parcels: str, rules: Sequence[SpecialRate]) -> str
     )
 
 
-def tier_from_card(daily: DataFrame, card: DataFrame) -> DataFrame:
+def _levels(span: str) -> str:
+    """How often a span of whole numbers can be halved until one block covers it."""
+    return f"cast(ceil(log2(greatest({span}, 0) + 1)) AS int)"
+
+
+def _blocks_of(value: str, levels: str) -> str:
+    """Every block that holds a value: one per level, of 2^level numbers, named by (level, value >> level)."""
+    return f"transform(sequence(0, {levels}), l -> struct(l AS level, shiftright({value}, l) AS block))"
+
+
+def _blocks_in(low: str, high: str, levels: str) -> str:
+    """The disjoint blocks that make up an interval, two per level at most.
+
+    Whole blocks of a level run from ``a`` to ``b``. The first is part of no larger block within the interval where its
+    number is odd, the last one where its number is even.
+    """
+    ends = (
+        f"transform(sequence(0, {levels}), l -> struct(l AS level, "
+        f"shiftright({low} + shiftleft(1L, l) - 1, l) AS a, shiftright({high} + 1, l) - 1 AS b))"
+    )
+    taken = "array(CASE WHEN e.a <= e.b AND e.a % 2 = 1 THEN e.a END, CASE WHEN e.a <= e.b AND e.b % 2 = 0 THEN e.b END)"
+    return f"flatten(transform({ends}, e -> transform(array_compact({taken}), k -> struct(e.level AS level, k AS block))))"
+
+
+def tier_from_card(daily: DataFrame, card: DataFrame, stage: Stage | None = None) -> DataFrame:
     """Tier and rate per day from a rate card kept as a table.
 
     ``card`` has (rule_order, tier, low, high, rate, valid_from, valid_to); open bounds are NULL.
-    The first rule by ``rule_order`` that matches wins. Rules are spread over the months they are valid in,
-    within the days that occur, and meet the distinct (day, parcels) pairs by month, whatever the card's size.
+    The first rule by ``rule_order`` that matches wins, however many rules overlap.
+
+    Days and counts are cut into blocks of 1, 2, 4, ... numbers. A rule is the union of a few pairs of blocks, and of the
+    rules that hold a pair only the first is kept. A day and count lie in one block per level, so their rule is found by
+    equality on the pair alone: rows before the last aggregation are bounded by the distinct (day, count) pairs times
+    the levels, and no rule is compared with a day it does not hold. The daily counts are stored in ``stage`` first,
+    since their span, their distinct pairs and their rows are all needed.
     """
-    span = daily.agg(F.expr("struct(min(delivery_date) AS lo, max(delivery_date) AS hi)").alias("s"))
-    rules = (
-        card.withColumn("__span", span.scalar())
-        .selectExpr("*", "greatest(valid_from, __span.lo) AS __from", "least(valid_to, __span.hi) AS __to")
-        .where("__from <= __to")
+    stage = stage or Stage(daily.sparkSession)
+    daily = stage.put(daily, "daily")
+    span = daily.agg(
+        F.expr(
+            """struct(min(delivery_date) AS day0, cast(datediff(max(delivery_date), min(delivery_date)) AS bigint) AS days,
+                      min(daily_parcels) AS count0, cast(max(daily_parcels) - min(daily_parcels) AS bigint) AS counts)"""
+        ).alias("s")
+    ).scalar()
+    day_levels, count_levels = _levels("s.days"), _levels("s.counts")
+    open_rule = "coalesce(cast(datediff(valid_from, s.day0) AS bigint), 0)", "coalesce(cast(datediff(valid_to, s.day0) AS bigint), s.days)"
+    held = (
+        card.withColumn("s", span)
         .selectExpr(
-            "low", "high", "__from", "__to", "struct(rule_order, tier, low, high, rate, valid_from, valid_to) AS rule",
-            "explode(sequence(trunc(__from, 'MM'), trunc(__to, 'MM'), interval 1 month)) AS __month",
+            "struct(rule_order, tier, low, high, rate, valid_from, valid_to) AS rule",
+            "s",
+            f"greatest({open_rule[0]}, 0) AS d1",
+            f"least({open_rule[1]}, s.days) AS d2",
+            "greatest(coalesce(low - s.count0, 0L), 0L) AS c1",
+            "least(coalesce(high - s.count0, s.counts), s.counts) AS c2",
         )
+        .where("d1 <= d2 AND c1 <= c2")
+        .selectExpr("rule", "s", "c1", "c2", f"explode({_blocks_in('d1', 'd2', day_levels)}) AS d")
+        .selectExpr("rule", "d", f"explode({_blocks_in('c1', 'c2', count_levels)}) AS c")
+        .groupBy(F.struct("d", "c").alias("k"))
+        .agg(F.min("rule").alias("rule"))
+        .selectExpr("k.d AS d", "k.c AS c", "rule")
     )
-    pairs = daily.select("delivery_date", "daily_parcels").distinct().selectExpr("*", "trunc(delivery_date, 'MM') AS __month")
-    bounds = F.expr(
-        """delivery_date BETWEEN __from AND __to AND (low IS NULL OR daily_parcels >= low)
-           AND (high IS NULL OR daily_parcels <= high)"""
+    pairs = (
+        daily.select("delivery_date", "daily_parcels").distinct().withColumn("s", span)
+        .selectExpr("delivery_date", "daily_parcels", "s", "daily_parcels - s.count0 AS n",
+                    f"explode({_blocks_of('cast(datediff(delivery_date, s.day0) AS bigint)', day_levels)}) AS d")
+        .selectExpr("delivery_date", "daily_parcels", "d", f"explode({_blocks_of('n', count_levels)}) AS c")
     )
-    hits = pairs.join(rules, "__month").where(bounds).groupBy("delivery_date", "daily_parcels").agg(F.min("rule").alias("__hit"))
+    hits = pairs.join(held, ["d", "c"]).groupBy("delivery_date", "daily_parcels").agg(F.min("rule").alias("__hit"))
     return daily.join(hits, ["delivery_date", "daily_parcels"], "left").selectExpr(
         *daily.columns,
         "coalesce(__hit.tier, 'Unmatched') AS tier",

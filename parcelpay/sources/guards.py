@@ -57,3 +57,31 @@ def without_dispatch_copy(candidate: DataFrame, dispatch: DataFrame) -> DataFram
         for df in (candidate, dispatch)
     ]
     return candidate.where(marks[0].scalar() != marks[1].scalar())
+
+
+#: Distinct rows of a sheet that are looked up; the share found has a standard error of 1.6 % at most.
+SKETCH_ROWS = 1000
+
+
+def copied_share(candidate: DataFrame, dispatch: DataFrame, rows: int = SKETCH_ROWS) -> DataFrame:
+    """One row (sampled, copied, share): the part of the candidate's distinct rows that are on the dispatch sheet.
+
+    The rows with the smallest hashes are a uniform sample of the distinct rows, whatever their order and repeats; up to
+    ``rows`` distinct rows the share is exact. Cells compare as in ``fingerprint``. Dispatch is read once against the
+    sample.
+    """
+    def hashes(df: DataFrame) -> DataFrame:
+        return df.select(F.expr(f"xxhash64({', '.join(_comparable(quoted(c)) for c in df.columns)})").alias("h"))
+
+    sample = hashes(candidate).distinct().orderBy("h").limit(rows)
+    found = hashes(dispatch).join(F.broadcast(sample), "h", "left_semi").distinct()  # the sample has ``rows`` rows at most
+    both = sample.join(found.withColumn("copied", F.lit(True)), "h", "left")
+    counts = both.agg(F.count(F.lit(1)).alias("sampled"), F.count("copied").alias("copied"))
+    return counts.selectExpr("sampled", "copied", "CASE WHEN sampled > 0 THEN copied / sampled ELSE 0D END AS share")
+
+
+def without_most_of_dispatch(candidate: DataFrame, dispatch: DataFrame, least: float = 0.9, rows: int = SKETCH_ROWS) -> DataFrame:
+    """The candidate sheet, or no rows when at least that share of its distinct rows is on the dispatch sheet."""
+    if not same_headers(candidate, dispatch):
+        return candidate
+    return candidate.where(copied_share(candidate, dispatch, rows).select("share").scalar() < least)

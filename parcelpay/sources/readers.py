@@ -5,8 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parcelpay.sources.headers import DATABASE_HEADERS, clean_headers, rename_first_wins
+from parcelpay.sources.stage import Stage
 
 
 def read_csv_sheet(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
@@ -26,8 +29,29 @@ def read_csv_sheet(spark: SparkSession, path: str | list[str], multi_line: bool
     return raw.toDF(*clean_headers(raw.columns))
 
 
-def read_parquet_sheet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+REJECTED = "__rejected"
+
+
+def read_csv_with_rejects(
+    spark: SparkSession, path: str | list[str], stage: Stage | None = None, multi_line: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """The clean sheet, and (file, line) of every record that does not fit its header: short, long or broken ones.
+
+    The files are read once: all records are stored, and both results are parts of the stored table. A reader without
+    rejects would fill short records with nulls and drop the end of long ones.
+    """
+    stage = stage or Stage(spark)
+    options = {"header": True, "inferSchema": False, "encoding": "UTF-8", "escape": '"', "multiLine": multi_line}
+    headers = spark.read.options(**options).csv(path).columns
+    fields = T.StructType([T.StructField(c, T.StringType()) for c in [*headers, REJECTED]])
+    raw = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=REJECTED).schema(fields).csv(path)
+    names = clean_headers(headers)
+    if len(set(names)) < len(names) or REJECTED in names:
+        raise ValueError(f"headers are not distinct: {', '.join(names)}")
+    numbered = raw.select("*", F.col("_metadata.file_path").alias("__file")).toDF(*[f"c{i}" for i in range(len(names))], "line", "file")
+    kept = stage.put(numbered, "records")
+    clean = kept.where("line IS NULL").select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+    return clean, kept.where("line IS NOT NULL").select("file", "line")
 
 
 @dataclass(frozen=True)

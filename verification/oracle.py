@@ -257,6 +257,8 @@ _sql("missing_sheets", "SELECT sheet, rows, rows = 0 is_missing, CASE WHEN sheet
 _sql("copied_sheet_guard", f"""
     SELECT 'copy' sheet, CAST(0 AS BIGINT) rows UNION ALL SELECT 'part', count(*) FROM dispatch WHERE w > 20
     UNION ALL SELECT 'return', count(*) FROM ret""")
+_sql("mostly_copied_sheet", f"""
+    SELECT CAST(95 AS BIGINT) AS share, CAST(0 AS BIGINT) AS rows UNION ALL SELECT 20, count(*) FROM dispatch""")
 _sql("sheet_fingerprint", f"SELECT {ROWS}, CAST(1 AS BIGINT) fingerprints FROM pickup")
 _sql("default_period", """
     SELECT greatest(CAST(min(ts) AS DATE), CAST(date_trunc('month', max(ts)) AS DATE)) period_start,
@@ -296,6 +298,24 @@ _sql("exclude_returned_pairs", f"SELECT k dispatcher_key, {ROWS} FROM dispatch d
 _sql("exclude_pairs_preserving", f"SELECT k dispatcher_key, {ROWS} FROM dispatch d WHERE NOT {_RET} OR {_PICK} GROUP BY k")
 _sql("exclude_picked_up", f"SELECT k dispatcher_key, {ROWS} FROM dispatch d WHERE NOT {_PICK} GROUP BY k")
 _sql("net_dispatch_rows", "SELECT k dispatcher_key, wb waybill, CAST(ts AS DATE) AS day, w weight FROM net")
+_sql("mixed_dates", """
+    SELECT o_orderpriority AS file, CASE WHEN o_orderpriority <> '5-LOW' OR o_orderkey % 3 = 2 THEN CAST(o_orderdate AS DATE) END AS day,
+           CAST(count(*) AS BIGINT) AS rows FROM orders GROUP BY 1, 2""")
+_sql("date_shape_counts", """
+    SELECT o_orderstatus AS file, 'shown' AS "column", CASE o_orderkey % 5 WHEN 0 THEN 'unparsed' WHEN 1 THEN 'blank' ELSE 'd-MMM-yyyy[ H:mm[:ss]]' END AS shape,
+           CAST(count(*) AS BIGINT) AS "values" FROM orders GROUP BY 1, 3""")
+_sql("csv_rejects", """
+    SELECT CASE l_linenumber WHEN 6 THEN 'short' WHEN 7 THEN 'long' ELSE 'clean' END AS part, CAST(count(*) AS BIGINT) AS rows,
+           CAST(sum(CASE WHEN l_linenumber < 6 THEN l_quantity ELSE 0 END) AS DOUBLE) AS weight FROM lineitem GROUP BY 1""")
+_sql("rewritten_periods", """
+    SELECT CAST(year(o_orderdate) AS VARCHAR) AS period, o_orderstatus, CAST(count(*) AS BIGINT) AS rows,
+           CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders
+    WHERE year(o_orderdate) BETWEEN 1992 AND 1998 AND year(o_orderdate) <> 1993 AND (year(o_orderdate) <> 1995 OR o_orderkey % 2 = 0)
+    GROUP BY 1, 2""")
+_sql("net_dispatch_stored", "SELECT k dispatcher_key, wb waybill, CAST(ts AS DATE) AS day, w weight FROM net")
+_sql("stored_export_counts", f"""
+    SELECT {_n('count(*)', 'rows_in')}, {_n('count(*) FILTER (WHERE wb NOT IN (SELECT wb FROM ret))', 'rows_out')},
+           {_n('(SELECT count(DISTINCT wb) FROM ret)', 'returned_waybills')} FROM dispatch""")
 _sql("return_waybill_pairs", "SELECT DISTINCT k dispatcher_key, wb waybill FROM ret")
 _sql("export_without_returns", """
     SELECT 'JMR' || lpad(k, 9, '0') dispatcher_id, wb waybill, CAST(ts AS DATE) AS day, w weight
@@ -327,6 +347,14 @@ _sql("rate_card_pay", f"""
              coalesce(CAST(hit * 0.1 + 1 AS DECIMAL(12,4)), 0) rate
       FROM (SELECT n, CASE WHEN d < DATE '1995-06-01' THEN NULL WHEN n = 1 THEN 0 WHEN n = 2 THEN 1 WHEN n >= 3 THEN 2 END hit
             FROM daily) x) GROUP BY tier""")
+_sql("rate_card_overlaps", f"""
+    SELECT coalesce(tier, 'Unmatched') tier, {_n('sum(days)', 'AS days')}, {_d('sum(days * n * coalesce(rate, 0))', 'pay')} FROM (
+      SELECT d, n, days, arg_min('T' || o_orderkey % 5, o_orderkey) tier,
+             arg_min(CAST(o_orderkey % 7 * 0.1 + 1 AS DECIMAL(12,4)), o_orderkey) rate
+      FROM (SELECT d, n, count(*) AS days FROM daily GROUP BY 1, 2) p LEFT JOIN orders
+        ON d >= CAST(o_orderdate AS DATE) AND (o_orderkey % 3 = 0 OR d <= CAST(o_orderdate AS DATE) + CAST(o_custkey % 90 AS INTEGER))
+       AND n >= 1 + o_custkey % 3 AND (o_custkey % 2 = 1 OR n <= 1 + o_custkey % 3 + o_orderkey % 2)
+      GROUP BY d, n, days) x GROUP BY 1""")
 _sql("designated_driver_pay", f"""
     SELECT k dispatcher_key, d delivery_date, {_n('n', 'daily_parcels')}, tier, {_d('rate', 'rate_per_parcel')},
            {_n('extra', 'extra_parcels')}, {_d('pay', 'payout_per_day')} FROM days WHERE dd""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -10,13 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcelpay.functions import dates, numbers, text
-from parcelpay.operators import delivery, extras, penalties, period, trends
+from parcelpay.operators import date_shapes, delivery, extras, penalties, period, trends
 from parcelpay.operators.directory import all_dispatchers, directory
 from parcelpay.operators.overlap import exclude_pairs, exclude_waybills, net_dispatch, waybill_pairs
 from parcelpay.plans import export, fleet, invoice, statement
-from parcelpay.sources.guards import fingerprint, without_dispatch_copy
+from parcelpay.sources import by_waybill
+from parcelpay.sources.guards import fingerprint, without_dispatch_copy, without_most_of_dispatch
 from parcelpay.sources.headers import DATABASE_HEADERS, rename_first_wins
+from parcelpay.sources.readers import read_csv_with_rejects
 from parcelpay.sources.sheets import canonicalize
+from parcelpay.sources.sinks import PeriodReports
+from parcelpay.sources.stage import Stage
 from verification.sheets import RULES, raw_sheet, raw_sheets, workbook
 
 PERIOD = (date(1996, 3, 1), date(1996, 9, 30))
@@ -123,6 +128,59 @@ def date_parse(spark, d):
     return days.groupBy("day").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query
+def mixed_dates(spark, d):
+    """Five files of order dates, each in a shape of its own, two of them ambiguous without the rest of the file."""
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    text = """CASE o_orderpriority WHEN '1-URGENT' THEN date_format(o_orderdate, 'd/M/yyyy')
+                   WHEN '2-HIGH' THEN date_format(o_orderdate, 'M/d/yyyy') WHEN '3-MEDIUM' THEN date_format(o_orderdate, 'd MMM yyyy')
+                   WHEN '5-LOW' THEN CASE WHEN o_orderkey % 3 = 0 THEN 'n/a' WHEN o_orderkey % 3 = 1 THEN ' ' ELSE date_format(o_orderdate, 'yyyyMMdd') END
+                   ELSE concat(date_format(o_orderdate, 'yyyy-MM-dd'), ' 10:30') END AS shown"""
+    dated, _ = date_shapes.parse_dates(orders.selectExpr("o_orderpriority AS file", text), ["shown"], "file", Stage(spark))
+    return dated.groupBy("file", F.to_date("shown").alias("day")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def date_shape_counts(spark, d):
+    """Values by shape in the attendance dates and in order dates of which some cannot be read."""
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    shown = "CASE WHEN o_orderkey % 5 = 0 THEN 'soon' WHEN o_orderkey % 5 = 1 THEN '' ELSE date_format(o_orderdate, 'dd-MMM-yyyy') END AS shown"
+    return date_shapes.shape_counts(orders.selectExpr("o_orderstatus AS file", shown), ["shown"], "file")
+
+
+@query
+def csv_rejects(spark, d):
+    """Line items as CSV files in which some records are short and some are long."""
+    stage = Stage(spark)
+    header = "Dispatcher ID,Waybill Number,Billing Weight"
+    record = """concat_ws(',', l_suppkey, concat(l_orderkey, '-', l_linenumber), CASE WHEN l_linenumber <> 6 THEN l_quantity END,
+                          CASE WHEN l_linenumber = 7 THEN 'more' END)"""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr(f"{record} AS `{header}`")
+    path = f"{stage.folder}/csv"
+    lines.write.options(header=True, sep="\u0001", quote="", escapeQuotes=False).csv(path)
+    clean, rejects = read_csv_with_rejects(spark, path, stage)
+    kept = canonicalize("pickup", clean).agg(
+        F.lit("clean").alias("part"), F.count(F.lit(1)).alias("rows"), F.sum("billing_weight").alias("weight")
+    )
+    long = F.when(F.col("line").endswith(",more"), "long").otherwise("short")
+    refused = rejects.groupBy(long.alias("part")).agg(F.count(F.lit(1)).alias("rows"), F.lit(0).alias("weight"))
+    return kept.unionByName(refused).select("part", "rows", F.col("weight").cast("double").alias("weight"))
+
+
+@query
+def rewritten_periods(spark, d):
+    """Reports of seven years; one is rewritten without rows and one with half of them."""
+    reports = PeriodReports(spark, f"{Stage(spark).folder}/reports")
+    orders = spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey", "o_orderstatus", "o_totalprice", "year(o_orderdate) AS y")
+    for year in range(1992, 1999):
+        reports.write(orders.where(F.col("y") == year).drop("y"), str(year))
+    reports.write(orders.where("y = 1993 AND false").drop("y"), "1993")
+    reports.write(orders.where("y = 1995 AND o_orderkey % 2 = 0").drop("y"), "1995")
+    return reports.read().groupBy("period", "o_orderstatus").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total")
+    )
+
+
 @query
 def canonical_dispatch(spark, d):
     sheet = canonicalize("dispatch", raw_sheet(spark, d, "dispatch"))
@@ -173,6 +231,20 @@ def copied_sheet_guard(spark, d):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
+@query
+def mostly_copied_sheet(spark, d):
+    """Of two sheets of changed dispatch rows, the one with 95 % unchanged rows is emptied and the one with 20 % kept."""
+    dispatch = raw_sheet(spark, d, "dispatch")
+    waybill = F.col("`Waybill Number`")
+    parts = []
+    for share in (95, 20):
+        other = F.when(F.pmod(F.xxhash64(waybill), F.lit(100)) < share, waybill).otherwise(F.concat(waybill, F.lit("X")))
+        sheet = dispatch.withColumn("Waybill Number", other)
+        kept = without_most_of_dispatch(sheet, dispatch)
+        parts.append(kept.agg(F.lit(share).cast("bigint").alias("share"), F.count(F.lit(1)).alias("rows")))
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def sheet_fingerprint(spark, d):
     """Two arrangements of one sheet have one fingerprint."""
@@ -268,6 +340,23 @@ def net_dispatch_rows(spark, d):
     return _net(spark, d).select("dispatcher_key", "waybill", F.to_date("event_ts").alias("day"), "weight")
 
 
+@query
+def net_dispatch_stored(spark, d):
+    """The net dispatch from sheets stored by waybill, whose overlaps need no shuffle of dispatch."""
+    b = workbook(spark, d, *OVERLAP_SHEETS)
+    stage = Stage(spark)
+    sheets = by_waybill.store({n: b[n] for n in OVERLAP_SHEETS}, stage.folder, 8, f"s{uuid.uuid4().hex}")
+    net = by_waybill.net_dispatch(sheets).rows
+    return net.select("dispatcher_key", "waybill", F.to_date("event_ts").alias("day"), "weight")
+
+
+@query
+def stored_export_counts(spark, d):
+    b = workbook(spark, d, "dispatch", "return")
+    sheets = by_waybill.store({n: b[n] for n in ("dispatch", "return")}, Stage(spark).folder, 8, f"s{uuid.uuid4().hex}")
+    return by_waybill.export_counts(sheets["dispatch"], sheets["return"])
+
+
 @query
 def return_waybill_pairs(spark, d):
     return waybill_pairs(workbook(spark, d, "return")["return"])
@@ -347,6 +436,23 @@ def rate_card_pay(spark, d):
     return plain(out)
 
 
+@query
+def rate_card_overlaps(spark, d):
+    """Every order date is a rule of its own with a validity and bounds that overlap thousands of others."""
+    daily = daily_parcels(spark, d)
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    card = orders.selectExpr(
+        "o_orderkey AS rule_order", "concat('T', o_orderkey % 5) AS tier", "cast(1 + o_custkey % 3 AS bigint) AS low",
+        "CASE WHEN o_custkey % 2 = 0 THEN cast(1 + o_custkey % 3 + o_orderkey % 2 AS bigint) END AS high",
+        "cast(o_orderkey % 7 * 0.1 + 1 AS decimal(12,4)) AS rate", "to_date(o_orderdate) AS valid_from",
+        "CASE WHEN o_orderkey % 3 > 0 THEN date_add(to_date(o_orderdate), cast(o_custkey % 90 AS int)) END AS valid_to",
+    )
+    out = delivery.tier_from_card(daily, card).groupBy("tier").agg(
+        F.count(F.lit(1)).alias("days"), F.sum(F.col("daily_parcels") * F.col("rate_per_parcel")).alias("pay")
+    )
+    return plain(out)
+
+
 @query
 def designated_driver_pay(spark, d):
     days = _days(spark, d).where("designated")
