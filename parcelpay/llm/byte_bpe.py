@@ -20,9 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelpay.llm.common import text_or_empty
+from parcelpay.llm.common import slices, text_or_empty
 
-CACHE_PIECES = 500_000
+#: Characters of cached pieces, cuts and their ids that a worker holds at most.
+CACHE_BYTES = 96 << 20
 _ODD_SPACE = re.compile(r" (?=\s|\Z)")
 _codecs: dict[tuple[str, str], "ByteBpe"] = {}
 
@@ -66,17 +67,22 @@ class PerfectHash:
 
 
 class ByteBpe:
-    def __init__(self, path: str, pattern: str, cache_pieces: int = CACHE_PIECES):
+    def __init__(self, path: str, pattern: str, cache_bytes: int = CACHE_BYTES):
         import regex
 
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.table = PerfectHash(self.ranks)
-        self.bytes_of = {i: b for b, i in self.ranks.items()}
+        self.bytes_of = [b""] * (max(self.ranks.values(), default=-1) + 1)
+        for b, i in self.ranks.items():
+            self.bytes_of[i] = b
+        # All vocabulary bytes by id in one array, for decoding whole arrays of ids.
+        self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.starts = np.concatenate(([0], np.cumsum([len(b) for b in self.bytes_of]))).astype(np.int64)
         self.pattern = regex.compile(pattern)
-        self.cache_pieces = cache_pieces
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
+        self.cache_bytes, self.held = cache_bytes, 0
+        self.pieces: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
 
     def merge(self, token: bytes) -> tuple[int, ...]:
         """Ids of a pre-token by lowest-rank merges over linked bytes."""
@@ -106,49 +112,58 @@ class ByteBpe:
             i = after[i]
         return tuple(out)
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _keep(self, cache: dict[str, bytes], text: str, ids: bytes) -> None:
+        """Results of short strings, up to a bound in bytes (with about 200 for the objects); then both start anew."""
+        if len(text) > 64:
+            return
+        size = 200 + 2 * len(text) + len(ids)
+        if self.held + size > self.cache_bytes:
+            self.pieces.clear()
+            self.chunks.clear()
+            self.held = 0
+        self.held += size
+        cache[text] = ids
+
+    def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
             token = piece.encode()
             whole = self.table.get(token)
-            got = (whole,) if whole >= 0 else self.merge(token)
-            if len(piece) <= 64:
-                if len(self.pieces) >= self.cache_pieces:
-                    self.pieces.clear()
-                self.pieces[piece] = got
+            got = np.array((whole,) if whole >= 0 else self.merge(token), "<u4").tobytes()
+            self._keep(self.pieces, piece, got)
         return got
 
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        ids = tuple(i for piece in self.pattern.findall(chunk) for i in self._piece(piece))
-        if len(chunk) <= 64:
-            if len(self.chunks) >= self.cache_pieces:
-                self.chunks.clear()
-            self.chunks[chunk] = ids
+    def _chunk(self, chunk: str) -> bytes:
+        ids = b"".join([self._piece(piece) for piece in self.pattern.findall(chunk)])
+        self._keep(self.chunks, chunk, ids)
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of each match of the pattern in turn.
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids of each match of the pattern in turn, as little-endian unsigned 32-bit integers.
 
         A blank before a character that is no white space always starts a match, so a text is cut there and equal
         cuts are encoded once; a text with other blanks is matched whole.
         """
-        out: list[int] = []
         if not text:
-            return out
+            return b""
         if _ODD_SPACE.search(text):
-            for piece in self.pattern.findall(text):
-                out.extend(self._piece(piece))
-            return out
-        get = self.chunks.get
+            return b"".join([self._piece(piece) for piece in self.pattern.findall(text)])
         first, *rest = text.split(" ")
-        out.extend(get(first) or self._chunk(first))
-        for c in rest:
-            c = " " + c
-            out.extend(get(c) or self._chunk(c))
-        return out
+        cuts = [first, *[" " + c for c in rest]]
+        get = self.chunks.get
+        return b"".join([get(c) or self._chunk(c) for c in cuts])
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids: np.ndarray | list[int]) -> bytes:
+        """The bytes that ids stand for, copied from the vocabulary's array."""
+        ids = np.asarray(ids, np.int64)
+        if not len(ids):
+            return b""
+        first, sizes = self.starts[ids], self.starts[ids + 1] - self.starts[ids]
+        ends = np.cumsum(sizes)
+        return self.flat[np.arange(ends[-1]) + np.repeat(first - (ends - sizes), sizes)].tobytes()
 
 
 def codec(path: str, pattern: str) -> ByteBpe:
@@ -158,6 +173,10 @@ def codec(path: str, pattern: str) -> ByteBpe:
     return _codecs[path, pattern]
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+
+
 def encode_texts(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids array<int> of every whole text; null counts as empty, other columns are ignored.
 
@@ -166,14 +185,13 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                ids = [np.array(bpe.encode(t), np.int32) for t in part.column(1).to_pylist()]
+            for part in slices(batch, 1, max_bytes=1 << 20):
+                ids = [np.frombuffer(bpe.encode_bytes(t), np.int32) for t in part.column(1).to_pylist()]
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return _rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode_ids(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -181,22 +199,33 @@ def decode_ids(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
         for batch in batches:
-            texts = [bpe.decode(x or []) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], names=["doc_id", "ids", "decoded"])
+            for part in slices(batch, 1, max_bytes=1 << 20):
+                lists = part.column(1)
+                offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+                texts = [bpe.decode(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(texts, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
-def round_trip_digest(decoded: DataFrame) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, and the hashes of the ids (as little-endian unsigned 32-bit integers) and of what they decode to.
+
+    One pass: a text is encoded, its ids are decoded, and only the hashes leave the worker. Rows as in ``encode_texts``.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = codec(path, pattern)
         for batch in batches:
-            lists = batch.column(1)
-            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4")
-            sha = [hashlib.sha256(values[a:b].tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            back = [hashlib.sha256(x).hexdigest() for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(sha), pa.array(back)],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return decoded.select("doc_id", "ids", "decoded").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            for part in slices(batch, 1, max_bytes=1 << 20):
+                n, sha, back = [], [], []
+                for text in part.column(1).to_pylist():
+                    ids = bpe.encode_bytes(text)
+                    n.append(len(ids) // 4)
+                    sha.append(hashlib.sha256(ids).hexdigest())
+                    back.append(hashlib.sha256(bpe.decode(np.frombuffer(ids, "<u4"))).hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+
+    return _rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
