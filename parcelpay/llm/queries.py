@@ -78,7 +78,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
 def op2_token_files(spark, d):
     path = Store(spark).path("tokens")
     token_files.write_token_files(_documents(spark, d), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    return token_files.token_digest(token_files.read_token_files(spark, path))
+    return token_files.file_digest(spark, path)
 
 
 @query
@@ -122,8 +122,7 @@ def op6_language(spark, d):
 @query
 def op7_byte_bpe(spark, d):
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = byte_bpe.encode_texts(_documents(spark, d), path, pattern)
-    return byte_bpe.round_trip_digest(byte_bpe.decode_ids(ids, path, pattern))
+    return byte_bpe.round_trip(_documents(spark, d), path, pattern)
 
 
 @query

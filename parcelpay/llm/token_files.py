@@ -155,25 +155,48 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int
     ordered.mapInArrow(_encode(tokenizer, end_id), "doc_id long, part_start long, n_tokens int, ids array<int>").write.options(**ORC_OPTIONS).orc(path)
 
 
+_FILES = "doc_id long, part_start long, n_tokens int, ids array<int>"
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """Rows with the task that wrote them: a task's files follow one another, and its starts count over all of them."""
+    task = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("long")
+    return spark.read.schema(_FILES).orc(path).withColumn("task", task)
+
+
+def _with_start(files: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """``start`` from the ids that earlier tasks have in all; tasks are ordered by their number, as the ranges are."""
+    sizes = files.groupBy("task").agg(F.sum("n_tokens").alias("size"))
+    # One row per writing task.
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("task", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
+    start = (F.col("base") + F.col("part_start")).cast("long").alias("start")
+    return rows.join(bases, "task").select("doc_id", start, *columns)
+
+
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """The documents in the files with ``start``, the number of ids before each in the whole corpus."""
-    files = spark.read.schema("doc_id long, part_start long, n_tokens int, ids array<int>").orc(path).withColumn("file", F.col("_metadata.file_name"))
-    sizes = files.groupBy("file").agg(F.sum("n_tokens").alias("size"))
-    # One row per file: Spark's writers number the files in range order.
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("file", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
-    return files.join(bases, "file").select("doc_id", (F.col("base") + F.col("part_start")).cast("long").alias("start"), "n_tokens", "ids")
+    files = _files(spark, path)
+    return _with_start(files, files, "n_tokens", "ids")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first columns, and length and checksum of the ids in the last one."""
     for batch in batches:
-        lists = batch.column(3)
-        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4")
+        lists = batch.column(batch.num_columns - 1)
+        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
         crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         n = pa.array(np.diff(offsets).astype(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n, pa.array(crc, pa.int64())], names=[*batch.schema.names[:-1], "n_tokens", "ids_crc32"])
 
 
 def token_digest(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and the crc32 of the ids as little-endian unsigned 32-bit integers."""
-    return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return tokens.select("doc_id", "start", "ids").mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def file_digest(spark: SparkSession, path: str) -> DataFrame:
+    """``token_digest`` of whole files: ids become a checksum where they are read, and only narrow rows meet the bases."""
+    files = _files(spark, path)
+    rows = files.select("doc_id", "part_start", "task", "ids").mapInArrow(_digest, "doc_id long, part_start long, task long, n_tokens long, ids_crc32 long")
+    return _with_start(files, rows, "n_tokens", "ids_crc32")
