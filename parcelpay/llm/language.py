@@ -2,7 +2,8 @@
 
 Each word gets a score per language (character trigrams of the word, learned as smoothed log shares). The states of the
 Viterbi pass are the languages whose learned words use the word's script; a change of state costs ``SWITCH``. The path
-labels spans, and the language that holds most letters is the document's.
+labels spans, and the language that holds most letters is the document's. A text of one language needs no pass: where no
+run of words gains more than one change by any other language, the path that never changes is the best one.
 """
 
 from __future__ import annotations
@@ -13,9 +14,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelpay.llm.common import slices
+
 #: Unicode ranges of the scripts told apart; letters of none of them count as ``other``.
 SCRIPTS = {
     "latin": "A-Za-zª-ɏḀ-ỿ", "greek": "Ͱ-Ͽἀ-῿", "cyrillic": "Ѐ-ԯ",
@@ -29,9 +33,16 @@ CACHE_LETTERS = 8_000_000
 MAX_ROWS = 30_000
 BLOCK_WORDS = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 _SCRIPT = {name: re.compile(f"[{chars}]") for name, chars in SCRIPTS.items()}
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters. Numerals such as fractions and circled digits are word characters to Python but no letters."""
+    words = _WORD.findall(text)
+    return words if all(map(str.isalpha, words)) else _LETTERS.findall(text)
+
+
 @dataclass
 class LanguageModel:
     langs: list[str]
@@ -79,15 +90,22 @@ class LanguageModel:
 def train_language(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", max_rows: int = MAX_ROWS) -> LanguageModel:
     """Learn from rows with text and language: trigram counts per language, summed by Spark.
 
-    About ``max_rows`` rows at most, chosen by a hash of the text, are learned from.
+    About ``max_rows`` different texts at most are learned from, as many of each language, chosen by a hash of the text:
+    a rare language keeps all its texts however many rows the others have, and copies of a text count once.
 
     Only grams seen ``MIN_COUNT`` times reach the driver, with one count per language; their number is bounded by
     the alphabets in use, not by the rows. Without any row, no language is known and all texts are ``und``.
     """
     lower = F.lower(F.col(text_col))
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    share = min(1.0, max_rows / max(1, labelled.count()))
-    sample = labelled.where(F.pmod(F.xxhash64(F.col(text_col)), F.lit(1_000_000)) < int(1_000_000 * share))
+    key = F.xxhash64(F.col(text_col))
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.approx_count_distinct(key).alias("n")).collect()}
+    sample = labelled.limit(0)
+    if sizes:
+        each = max(1, max_rows // len(sizes))
+        shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(1_000_000 * min(1.0, each / max(1, n))))])
+        sample = labelled.where(F.pmod(key, F.lit(1_000_000)) < F.element_at(shares, F.col(lang_col)))
+        sample = sample.select(lang_col, text_col, key.alias("_key")).dropDuplicates([lang_col, "_key"])
     words = sample.select(F.col(lang_col).alias("lang"), F.explode(F.regexp_extract_all(lower, F.lit(r"(\p{L}+)"), 1)).alias("w"))
     counted = words.groupBy("lang", "w").agg(F.count("*").alias("n"))
     padded = counted.select("lang", "n", F.concat(F.lit(" "), "w", F.lit(" ")).alias("p"))
@@ -116,9 +134,9 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
     active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # documents with more than t words
     flat = np.concatenate([scores[d] for d in order])
     start = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    back = np.empty(len(flat), dtype=(np.int8, states))
+    back = np.empty(len(flat), dtype=(np.int16, states))
     best = np.zeros((n, states))
-    stay = np.arange(states, dtype=np.int8)
+    stay = np.arange(states, dtype=np.int16)
     for t in range(lengths[0]):
         k = active[t]
         b = best[:k]
@@ -126,41 +144,67 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
         change = b[np.arange(k), top] - switch
         moved = change[:, None] > b
         at = start[:k] + t
-        back[at] = np.where(moved, top[:, None].astype(np.int8), stay)
+        back[at] = np.where(moved, top[:, None].astype(np.int16), stay)
         best[:k] = np.where(moved, change[:, None], b) + flat[at]
-    path = np.empty(len(flat), np.int8)
+    path = np.empty(len(flat), np.int16)
     state = best.argmax(1)
     for t in range(lengths[0] - 1, -1, -1):
         k = active[t]
         at = start[:k] + t
         path[at] = state[:k]
         state[:k] = back[at, state[:k]]
-    out: list[np.ndarray] = [np.empty(0, np.int8)] * n
+    out: list[np.ndarray] = [np.empty(0, np.int16)] * n
     for place, d in enumerate(order):
         out[d] = path[start[place] : start[place] + lengths[place]]
     return out
 
 
+def single_state(scores: np.ndarray, switch: float = SWITCH) -> int:
+    """The state of the best path if it never changes, else -1.
+
+    Against the best single state, let no run of words gain more than ``switch`` in any other state. A path with other
+    states pays for entering each of its runs as much as the run can gain, so it is no better.
+    """
+    state = int(scores.sum(0, dtype=np.float64).argmax())
+    gain = np.cumsum(scores - scores[:, [state]], axis=0, dtype=np.float64)
+    lowest = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
+    lowest = np.concatenate([np.zeros((1, gain.shape[1])), lowest[:-1]])
+    return state if (gain - lowest).max() <= switch else -1
+
+
 def label_texts(texts: list[str | None], model: LanguageModel) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
     """Language, share of letters in it, and spans (first word, end word, language) of each text."""
     out: list = [("und", 0.0, [])] * len(texts)
-    found = [_WORD.findall(t) if t and model.langs else [] for t in texts]
-    todo = [i for i, w in enumerate(found) if w]
-    while todo:
-        part, words = [], 0
-        while todo and (not part or words + len(found[todo[0]]) <= BLOCK_WORDS):
-            part.append(todo.pop(0))
-            words += len(found[part[-1]])
-        scores = []
-        for i in part:
-            ids = model.index(found[i])
-            scores.append(model.table[ids])
-        for i, path in zip(part, viterbi(scores), strict=True):
-            letters = np.bincount(path, np.fromiter(map(len, found[i]), float, len(path)), len(model.langs))
+    mixed: list[tuple[int, list[str], np.ndarray]] = []
+
+    def close() -> None:
+        if not mixed:
+            return
+        for (i, words, _), path in zip(mixed, viterbi([s for _, _, s in mixed]), strict=True):
+            letters = np.bincount(path, np.fromiter(map(len, words), float, len(path)), len(model.langs))
             cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
             spans = [(a, b, model.langs[path[a]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             top = int(letters.argmax())
             out[i] = (model.langs[top], float(letters[top] / letters.sum()), spans)
+        mixed.clear()
+
+    held = 0
+    for i, text in enumerate(texts):
+        words = words_of(text) if text and model.langs else []
+        if not words:
+            continue
+        ids = model.index(words)
+        scores = model.table[ids]
+        state = single_state(scores)
+        if state >= 0:
+            out[i] = (model.langs[state], 1.0, [(0, len(words), model.langs[state])])
+            continue
+        if held + len(words) > BLOCK_WORDS:
+            close()
+            held = 0
+        mixed.append((i, words, scores))
+        held += len(words)
+    close()
     return out
 
 
@@ -168,8 +212,7 @@ def _predict(shared, spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for first in range(0, batch.num_rows, 1000):
-                part = batch.slice(first, 1000)
+            for part in slices(batch, batch.num_columns - 1):
                 labels = label_texts(part.column(part.num_columns - 1).to_pylist(), model)
                 cols = [*part.columns, pa.array([x[0] for x in labels], pa.string()), pa.array([x[1] for x in labels], pa.float64())]
                 names = [*part.schema.names, "lang_pred", "score"]
