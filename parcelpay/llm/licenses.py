@@ -65,6 +65,28 @@ def _constant(strings: list[str]) -> Column:
     return F.split(F.lit("\x1f".join(strings)), "\x1f")
 
 
+def _may_hold(text: Column, words: list[str]) -> Column:
+    """Whether a text holds some of the words, as parts of longer ones too: tried before a text is cut into words.
+
+    The words share their first letters in the pattern, and a match starts where no letter or digit is before it, as
+    every word does that starts with one; so nothing is passed over that has one of the words.
+    """
+    trie: dict = {}
+    for w in words:
+        node = trie
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        if "" in node:
+            return ""  # what follows need not match
+        parts = [("\\" + c if not c.isalnum() else c) + pattern(n) for c, n in sorted(node.items())]
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    return F.lower(text).rlike(r"(?<![\p{L}\p{N}])" + pattern(trie)) if words else F.lit(False)
+
+
 def paragraphs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, paragraph (its number in the text, from 0) and body of every line that is not blank."""
     lines = F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
@@ -99,7 +121,8 @@ def _runs(docs: DataFrame, templates: list[list[str]], features: list[str], id_c
         return each.cast("array<struct<at:bigint,w:array<string>>>")
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.flatten(F.transform(F.split(text, "\n"), pieces)).alias("pieces"))
+    rows = docs.where(_may_hold(text, features))
+    rows = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.flatten(F.transform(F.split(text, "\n"), pieces)).alias("pieces"))
     starts = F.sequence(F.lit(0), F.floor((F.size("pieces") - 1) / BLOCK_PIECES).cast("int"))
     rows = rows.select("doc_id", "key", F.explode(F.transform(starts, lambda b: F.slice("pieces", b * BLOCK_PIECES + 1, BLOCK_PIECES + longest))).alias("pieces"))
     rows = rows.where(F.arrays_overlap(F.flatten(F.transform("pieces", lambda u: u["w"])), _constant(features)))
@@ -208,7 +231,9 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, *, id_col: str = "doc_id
     weights = spark.createDataFrame([(g, w) for g, w in model.weights.items()], "gram string, w array<double>")
     by_family = {family: [x.split("\x1f") for x in _template_grams(spark, family)] for family in names[:-1]}
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.posexplode(F.split(text, "\n")).alias("paragraph", "body")).where(F.trim("body") != "")
+    lines = docs.where(_may_hold(text, model.words))
+    lines = lines.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.posexplode(F.split(text, "\n")).alias("paragraph", "body"))
+    lines = lines.where(_may_hold(F.col("body"), model.words))
     lines = lines.withColumn("words", words_of(F.col("body"))).where(F.arrays_overlap("words", _constant(model.words)))
     at = F.shiftleft(F.col("paragraph").cast("long"), 24)
     lines = lines.select("doc_id", "paragraph", "key", at.alias("first"), (at + (1 << 24) - 1).alias("last"), "words")
