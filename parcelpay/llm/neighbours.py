@@ -2,8 +2,8 @@
 
 Inner products become Euclidean distances by one more component: candidates get ``sqrt(M^2 - |x|^2)`` (M the largest
 norm), queries 0. Each of ``tables`` hashes a vector by ``hashes`` values ``floor((a.x + b) / width)``. A query visits
-its own bucket and perturbed ones in order of the estimated chance of success (squared distances to the bucket's
-borders). Buckets meet queries in blocks: a large bucket is salted over its candidates and its queries go to every
+its own buckets and perturbed ones in order of the estimated chance of success (squared distances to the buckets'
+borders), over all tables together. Buckets meet queries in blocks: a large bucket is salted over its candidates and its queries go to every
 block. A task keeps the best ``k`` per query over all its blocks; tables are merged by pair and ranked once more. A
 block's matrix product only chooses; the score of a chosen pair is summed column by column, so that a pair has the same
 score to the last bit in every block.
@@ -21,7 +21,10 @@ from pyspark.sql import functions as F
 
 from parcelpay.llm.common import Store, splittable
 
-TABLES, HASHES, WIDTH, PROBES = 16, 6, 2.2, 40
+#: Probes are over all tables. See the README for recall and share of candidates by setting.
+TABLES, HASHES, WIDTH, PROBES = 24, 8, 2.0, 540
+#: Queries whose best rows a task holds before it hands them on.
+HELD_QUERIES = 20_000
 BLOCK = 4096
 
 
@@ -50,24 +53,32 @@ def _hash(dim: int, scale: float, tables: int, hashes: int, width: float, probes
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes, shifts = _planes(dim, scale, tables, hashes, width, seed)
         for whole in batches:
-            for first in range(0, whole.num_rows, 512):
-                batch = whole.slice(first, 512)
+            for first in range(0, whole.num_rows, 128):
+                batch = whole.slice(first, 128)
                 x = _matrix(batch.column(1))
                 last = np.zeros(len(x)) if query else np.sqrt(np.maximum(0, scale * scale - (x * x).sum(1)))
                 x = np.column_stack([x, last])
-                out = []
+                out, costs = [], []
                 for t in range(tables):
                     p = (x @ planes[t] + shifts[t]) / width
                     h = np.floor(p)
-                    if not query:
-                        out.append(_bucket(t, h)[:, None])
-                        continue
-                    f = p - h
-                    cost = np.zeros((len(x), len(moves)))
-                    for j in range(hashes):
-                        cost += np.where(moves[:, j] == -1, f[:, [j]] ** 2, np.where(moves[:, j] == 1, (1 - f[:, [j]]) ** 2, 0))
-                    best = np.argsort(cost, axis=1, kind="stable")[:, :probes]
-                    out.append(_bucket(t, h[:, None, :] + moves[best]))
+                    out.append(_bucket(t, h)[:, None] if not query else h[:, None, :])
+                    if query:
+                        f = p - h
+                        cost = np.zeros((len(x), len(moves)))
+                        for j in range(hashes):
+                            cost += np.where(moves[:, j] == -1, f[:, [j]] ** 2, np.where(moves[:, j] == 1, (1 - f[:, [j]]) ** 2, 0))
+                        costs.append(cost)
+                if query:
+                    # The likeliest of all tables' buckets; equal costs by table and move.
+                    order = np.argsort(np.concatenate(costs, axis=1), axis=1, kind="stable")[:, :probes]
+                    table, move = np.divmod(order, len(moves))
+                    own = np.concatenate(out, axis=1)
+                    h = own[np.arange(len(x))[:, None], table] + moves[move]
+                    visited = np.zeros(order.shape, np.int64)
+                    for t in range(tables):
+                        visited[table == t] = _bucket(t, h[table == t])
+                    out = [visited]
                 flat = np.concatenate(out, axis=1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists], schema=schema)
@@ -87,6 +98,16 @@ def _search(k: int):
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         place, queries, vectors = None, [], []
 
+        def handed() -> Iterator[pa.RecordBatch]:
+            items = list(best.items())
+            best.clear()
+            for i in range(0, len(items), 5000):
+                part = items[i : i + 5000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat([q for q, _ in part], [len(v[0]) for _, v in part])), pa.array(np.concatenate([v[0] for _, v in part])), pa.array(np.concatenate([v[1] for _, v in part]))],
+                    schema=schema,
+                )
+
         def block(ids: np.ndarray, x: np.ndarray) -> None:
             q = np.stack(vectors)
             # More than the rounding by which two orders of summation differ.
@@ -121,13 +142,9 @@ def _search(k: int):
                     vectors.extend(x[a:b])
                 elif queries:
                     block(ids[a:b], x[a:b])
-        items = list(best.items())
-        for i in range(0, len(items), 5000):
-            part = items[i : i + 5000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat([q for q, _ in part], [len(v[0]) for _, v in part])), pa.array(np.concatenate([v[0] for _, v in part])), pa.array(np.concatenate([v[1] for _, v in part]))],
-                schema=schema,
-            )
+            if len(best) > HELD_QUERIES:
+                yield from handed()
+        yield from handed()
 
     return run
 
@@ -135,8 +152,8 @@ def _search(k: int):
 def nearest(vectors: DataFrame, is_query, *, k: int = 20, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES, block: int = BLOCK, seed: int = 9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found for each row where ``is_query`` holds, itself left out.
 
-    Null ids, null or zero vectors and vectors with null or non-finite components take no part, nor do vectors of
-    another length than the longest one. Rows repeating an id are one row (the smallest vector). Ties go to the smaller
+    Null ids, null or zero vectors and vectors with null or non-finite components take no part. A vector is compared with
+    those of its own length. Rows repeating an id are one row (the smallest vector). Ties go to the smaller
     id. Equal vectors are searched once: with k + 1 ids of each distinct vector no result can change. A query that
     finds fewer than ``k`` candidates in its buckets is compared with all rows, so that small tables are exact.
     """
@@ -148,10 +165,16 @@ def nearest(vectors: DataFrame, is_query, *, k: int = 20, tables: int = TABLES,
     clean = clean.groupBy("id").agg(F.min("x").alias("x"))
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, c: a + c * c))
     rows = store.put(clean.withColumn("norm", norm).withColumn("dim", F.size("x")), "vectors")
-    dim, scale = rows.agg(F.max("dim"), F.max("norm")).first()
-    if dim is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.col("dim") == dim)
+    found = None
+    # One pass per length of vectors, of which a table has few.
+    for dim, scale in rows.groupBy("dim").agg(F.max("norm")).orderBy("dim").collect():
+        part = _nearest_of(rows.where(F.col("dim") == dim), dim, scale, is_query, store, k, tables, hashes, width, probes, block, seed, _is_float(vectors, vector_col))
+        found = part if found is None else found.unionByName(part)
+    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double") if found is None else found
+
+
+def _nearest_of(rows: DataFrame, dim: int, scale: float, is_query, store: Store, k: int, tables: int, hashes: int, width: float, probes: int, block: int, seed: int, is_float: bool) -> DataFrame:
+    """``nearest`` over cleaned rows of one length."""
     first = Window.partitionBy("x").orderBy("id")
     few = rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1)
     distinct = store.put(few.groupBy("x").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids")), "distinct")
@@ -168,7 +191,7 @@ def nearest(vectors: DataFrame, is_query, *, k: int = 20, tables: int = TABLES,
     salted = splittable(blocks, "bucket")
     c = placed.join(salted, "bucket").select("id", F.xxhash64("bucket", F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("place"), F.lit(1).alias("kind"))
     q = probed.join(salted, "bucket").select("id", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda s: F.xxhash64("bucket", s))).alias("place"), F.lit(0).alias("kind"))
-    float_heads = heads.select("id", F.expr("transform(x, c -> cast(c as float))").alias("v")) if _is_float(vectors, vector_col) else heads.select("id", F.col("x").alias("v"))
+    float_heads = heads.select("id", F.expr("transform(x, c -> cast(c as float))").alias("v")) if is_float else heads.select("id", F.col("x").alias("v"))
     dealt = c.unionByName(q).join(float_heads, "id").select("place", "kind", "id", "v").repartition("place").sortWithinPartitions("place", "kind")
     found = store.put(_merged(dealt.mapInArrow(_search(k), "query long, id long, score double")), "found")
 
