@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from parcelpay.llm.common import WHITE, Store, text_or_empty
 
 TABLE_BYTES = 64 << 20
+#: No more buckets than give each this many bytes.
+LEAST_BUCKET = 1 << 20
 
 
 class ContentTable:
@@ -141,7 +143,12 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     left = rows.where("content is not null").select("rep", "sha", "content")
     settled, level = None, 0
     while True:
-        dealt = left.repartition(F.xxhash64("sha", F.lit(level)))
+        # As many buckets as the bytes left need at half a table each, whatever the session's number of partitions.
+        held = left.agg(F.sum(F.length("content") + 100)).first()[0] or 0
+        buckets = max(1, -(-2 * held // max(table_bytes, LEAST_BUCKET)))
+        several = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        deal = F.xxhash64("sha", F.lit(level))
+        dealt = left.repartition(int(buckets), deal) if buckets > several else left.repartition(deal)
         out = store.put(dealt.mapInArrow(_settle(table_bytes, level), "rep long, sha binary, variant long, content binary"), f"level{level}")
         done = out.where("content is null").select("rep", "variant")
         settled = done if settled is None else settled.unionByName(done)
