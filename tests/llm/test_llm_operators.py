@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -168,6 +169,17 @@ def test_near_dedup_odd_rows(spark):
     assert near_dedup.near_dedup(df.limit(0)).count() == 0
 
 
+def test_near_dedup_repeated_id_with_different_texts(spark):
+    """Before, only the links of one of the texts were found, of which one depended on the order of rows."""
+    r = random.Random(21)
+    a, b = ([f"w{r.randrange(10**6)}" for _ in range(200)] for _ in range(2))
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a, "x"])), (3, " ".join([*b, "y"])), (4, " ".join(a[:100])), (4, " ".join(["z", *b]))]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        got = sorted((x["doc_id"], x["component_id"], x["n_shingles"]) for x in near_dedup.near_dedup(df).collect())
+        assert got == [(1, 1, 196), (1, 1, 196), (2, 1, 197), (3, 1, 197), (4, 1, 197), (4, 4, 96)]
+
+
 def test_components(spark):
     r = random.Random(8)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 130)] + [(200, i) for i in range(201, 260)]
@@ -193,6 +205,35 @@ def test_language(spark):
     assert {x["lang_pred"] for x in language.identify(df.limit(3), empty, keys=["doc_id"]).collect()} == {"und"}
 
 
+def test_language_letters_and_rare_languages(spark):
+    rows = [(i, f"kala suna mori{i} tako", "xx") for i in range(2000)] + [(i, f"brent stolk grund plimt{i}", "yy") for i in range(5000, 5040)]
+    rows += [(9000, "same text of a third", "xx")] * 1000
+    df = spark.createDataFrame([(i, re.sub(r"\d", lambda m: chr(97 + int(m[0])), t), x) for i, t, x in rows], "doc_id long, text string, lang string")
+    model = language.train_language(df, max_rows=200)
+    assert model.langs == ["xx", "yy"]
+    odd = [(1, "½ ² ①"), (2, "½ brent stolk"), (3, "kala " * 60_000)]
+    odd = spark.createDataFrame(odd + odd[:1], "doc_id long, text string")
+    got = Counter((x["doc_id"], x["lang_pred"], x["score"]) for x in language.identify(odd, model, keys=["doc_id"]).collect())
+    assert got == Counter({(1, "und", 0.0): 2, (2, "yy", 1.0): 1, (3, "xx", 1.0): 1})
+    assert language.identify(odd.limit(0), model, keys=["doc_id"]).count() == 0
+
+
+def test_single_state_is_the_best_path():
+    r = np.random.Generator(np.random.PCG64(2))
+    kept = 0
+    for _ in range(300):
+        s = r.normal(size=(int(r.integers(1, 12)), 3)) * 2 + np.array([1.5, 0, 0])
+        path, state = language.viterbi([s], 2.0)[0], language.single_state(s, 2.0)
+        if state >= 0:
+            assert (path == state).all()
+            kept += 1
+        else:
+            assert s[np.arange(len(s)), path].sum() - 2.0 * np.count_nonzero(np.diff(path)) >= s.sum(0).max() - 1e-9
+    assert 50 < kept < 300
+    many = r.normal(size=(40, 200)) * 9
+    assert language.viterbi([many])[0].max() > 127
+
+
 def test_viterbi_is_best_path():
     import itertools
 
@@ -287,6 +328,51 @@ def test_neighbours(spark):
     assert len(few) == 4 and neighbours.nearest(df.limit(0), lambda c: F.col(c) == 0).count() == 0
 
 
+def test_neighbours_of_mixed_lengths(spark):
+    """Before, one longer vector made all others vanish."""
+    r = np.random.Generator(np.random.PCG64(7))
+    x = r.normal(size=(60, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100, [1.0] * 9), (7, x[7].tolist()), (120, [0.5] * 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("x")).withColumn("id", F.lit(0))
+    got = neighbours.nearest(df, lambda c: F.col(c) % 20 == 0, k=5).collect()
+    assert Counter(g["query_id"] for g in got) == Counter({0: 5, 20: 5, 40: 5, 100: 1, 120: 1})
+    for g in got:
+        if g["query_id"] < 100:
+            best = sorted((i for i in range(60) if i != g["query_id"]), key=lambda i: -(x[i] @ x[g["query_id"]]))
+            assert g["vec_id"] == best[g["rank"] - 1]
+
+
+def test_neighbours_recall_and_candidates():
+    """Recall and share of candidates of the setting, by the hash functions on the given vectors."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("tables not present")
+    table = pq.read_table(path)
+    ids, lists = table.column("vec_id").to_numpy(), table.column("embedding").combine_chunks()
+    x = np.array(lists.to_pylist(), float)
+    scale = float(np.sqrt((x * x).sum(1).max())) * (1 + 1e-9)
+    args = (x.shape[1], scale, neighbours.TABLES, neighbours.HASHES, neighbours.WIDTH, neighbours.PROBES, 9)
+
+    def buckets(rows, query):
+        batch = pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(x[rows].tolist(), pa.list_(pa.float64()))], names=["id", "v"])
+        return [set(b) for out in neighbours._hash(*args, query)([batch]) for b in out.column(1).to_pylist()]
+
+    asked = np.flatnonzero(ids % 20 == 0)
+    held = buckets(np.arange(len(x)), False)
+    hit = share = 0.0
+    for q, visited in zip(asked, buckets(asked, True), strict=True):
+        s = x @ x[q]
+        s[q] = -np.inf
+        near = np.argsort(-s)[:20]
+        met = np.array([not visited.isdisjoint(b) for b in held])
+        hit += met[near].mean() / len(asked)
+        share += met.mean() / len(asked)
+    assert hit >= 0.9 and share <= 0.7
+
+
 def test_neighbours_pair_found_by_many_tasks(spark):
     """Before, a pair scored in blocks of different shapes took several ranks of its query."""
     r = np.random.Generator(np.random.PCG64(4))
@@ -354,6 +440,55 @@ def test_pipeline(spark):
     assert counts == sorted(counts, reverse=True) and len(names) == 5
 
 
+def test_pipeline_stages_with_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    text = " ".join(WORDS[:12])
+    rows = [(1, text, "a", "b"), (1, text + " more", "a", "b"), (2, text, "a", None), (None, text + "  ", "a", "b"), (3, None, "a", "b"), (None, "", "a", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _own string").withColumn("_sha", F.lit(0)).withColumn("_key", F.lit(1))
+    spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.quality_filter(spark, docs, str(tmp_path)).count() == 6  # one kind of label ranks nothing
+    exact = corpus_pipeline.exact_duplicates(spark, docs, str(tmp_path))
+    assert exact.columns == docs.columns
+    assert Counter((r["doc_id"], (r["text"] or "").strip()) for r in exact.collect()) == Counter([(None, text), (1, text + " more"), (3, "")])
+    near = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert Counter((r["doc_id"], r["text"]) for r in near.collect()) == Counter([(1, text), (1, text + " more"), (None, text + "  "), (3, None), (None, "")])
+
+
+def test_token_files_of_many_files(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    name, path = public_tokenizers.path("word_bpe_49k.json"), str(tmp_path / "orc")
+    docs = spark.range(0, 300).selectExpr("id AS doc_id", "concat('word', id, ' of stone') AS text")
+    before = spark.conf.get("spark.sql.files.maxRecordsPerFile")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "7")
+    try:
+        token_files.write_token_files(docs.unionByName(docs.where("doc_id = 5")).unionByName(spark.createDataFrame([(None, None)], "doc_id long, text string")), path, name, end_id=2)
+    finally:
+        spark.conf.set("spark.sql.files.maxRecordsPerFile", before)
+    got = sorted(tuple(r) for r in token_files.file_digest(spark, path).select("start", "doc_id", "n_tokens").collect())
+    whole, start = Tokenizer.from_file(name), 0
+    expected = [None, *range(6), 5, *range(6, 300)]
+    for (at, doc, n), i in zip(got, expected, strict=True):
+        ids = whole.encode("" if i is None else f"word{i} of stone", add_special_tokens=False).ids
+        assert (at, doc, n) == (start, i, len(ids) + 1)
+        start += n
+    token_files.write_token_files(docs.limit(0), path + "0", name, end_id=2)
+    assert token_files.file_digest(spark, path + "0").count() == 0
+
+
+def test_round_trip(spark, docs, texts):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    codec = byte_bpe.ByteBpe(path, public_tokenizers.PATTERN, cache_bytes=5000)  # a cache that is emptied often
+    rows = docs.unionByName(docs.where("doc_id = 3"))
+    got = {r["doc_id"]: r for r in byte_bpe.round_trip(rows, path, public_tokenizers.PATTERN).collect()}
+    for i, t in texts:
+        ids = np.array(codec.encode(t or ""), "<u4")
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
+        assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+    assert byte_bpe.round_trip(docs.limit(0), path, public_tokenizers.PATTERN).count() == 0
+
+
 def test_word_cache_smaller_than_one_text():
     from tokenizers import Tokenizer
 
