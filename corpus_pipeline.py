@@ -33,32 +33,50 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ranking model, trained on the labels of the folder, puts above its threshold."""
+    """Documents that the ranking model, trained on the labels of the folder, puts above its threshold.
+
+    Labels of one kind only rank nothing, so all documents stay then.
+    """
     ship(spark)
     model = quality.train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if not model.trained:
+        return docs
     scored = _with_private_names(docs, lambda d, keys, text: quality.score_quality(d, model, keys=keys, text_col=text))
     return _restored(scored.where("predicted = 1"), docs)
 
 
+def _private(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """All columns under private names, and those of id and text."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
+
+
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts; null text counts as empty, and null ids come last."""
     ship(spark)
     kept = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    own = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", ""), 256)
-    rows = docs.withColumn("_own", own)
-    same = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
+    rows, doc, text = _private(docs)
+    own = F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]", ""), 256)
+    rows = rows.withColumn("_own", own)
+    same = rows.join(kept, F.col(doc).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
     if not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         # Rows repeating both id and text: the longest one stays.
-        order = Window.partitionBy("doc_id", "_own").orderBy(F.length("text").desc_nulls_last(), "text")
+        order = Window.partitionBy(doc, "_own").orderBy(F.length(text).desc_nulls_last(), text)
         same = same.withColumn("_nth", F.row_number().over(order)).where("_nth = 1")
-    return same.select(*docs.columns)
+    return _restored(same, docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (five words, similarity 0.8)."""
+    """One document of each component of near copies (five words, similarity 0.8).
+
+    Of rows that repeat an id only those go whose own text is in a component with a smaller id. Rows without an id or
+    without words stay.
+    """
     ship(spark)
-    gone = near_dedup.near_dedup(docs).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    gone = near_dedup.near_dedup(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    rows, doc, text = _private(docs)
+    same = (F.col(doc) == F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_key"))
+    return _restored(rows.join(gone, same, "left_anti"), docs)
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
