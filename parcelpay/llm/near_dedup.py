@@ -5,8 +5,8 @@ differ in at most one symbol of some chunk (pigeonhole), so every chunk gives ``
 its symbols: all placements of the one allowed error. Any pair within the distance shares a key.
 
 Documents with equal sets are one class before that. In each bucket every class is compared with the smallest one;
-confirmed links give components. What is left are buckets whose members are in different components. Buckets that share
-members are united into families, so that two classes meet in one place and not once for each key they share. A place
+confirmed links give components. What is left are buckets whose members are in different components. Those with the same
+smallest class are one family, so that two classes rarely meet more than once, however many keys they share. A place
 holds the full sets of its classes, tests pairs of different components and joins them as links are found: it emits
 the links that join two components, fewer than it has members, and no link inside a bucket is lost.
 """
@@ -317,15 +317,12 @@ def near_dedup(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: str
         both = stars.join(with_b, "b").join(with_a, "a").select("a", "b", "set_a", "set_b")
         links = store.put(both.mapInArrow(_confirm(percent), "a long, b long"), "links")
     label = components(links, store)
-    # What is left: members of one bucket in different components. Such buckets that share members are one family.
+    # What is left: members of one bucket in different components. Such buckets with one hub are one family.
     tagged = shared.select("key", "node", "hub").join(label, shared.node == label.node, "left").select("key", shared.node, "hub", F.coalesce("component", shared.node).alias("comp"))
     mixed = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     open_rows = store.put(tagged.join(splittable(mixed, "key"), "key", "left_semi").select("node", "hub", "comp").distinct(), "open")
     if not open_rows.isEmpty():
-        family = components(open_rows.select(F.col("hub").alias("a"), F.col("node").alias("b")), store)
-        members = open_rows.groupBy("node").agg(F.min("comp").alias("comp")).join(sig, "node")
-        members = members.join(family.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
-        members = store.put(members.select("node", "comp", "n", "sig", F.coalesce("component", "node").alias("family")), "members")
+        members = open_rows.select("node", "comp", F.col("hub").alias("family")).join(sig, "node")
         fill = F.greatest(F.count("*") / BLOCK, 8 * F.sum("n") / BLOCK_BYTES)
         blocks = members.groupBy("family").agg(F.ceil(fill).cast("long").alias("blocks"))
         dealt = members.join(splittable(blocks, "family"), "family").join(sets, "node")
