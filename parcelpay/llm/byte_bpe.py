@@ -82,7 +82,7 @@ class ByteBpe:
         self.pattern = regex.compile(pattern)
         self.cache_bytes, self.held = cache_bytes, 0
         self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.after: dict[str, bytes] = {}  # cuts that follow a blank, without it; the ids are those with the blank
 
     def merge(self, token: bytes) -> tuple[int, ...]:
         """Ids of a pre-token by lowest-rank merges over linked bytes."""
@@ -119,7 +119,7 @@ class ByteBpe:
         size = 200 + 2 * len(text) + len(ids)
         if self.held + size > self.cache_bytes:
             self.pieces.clear()
-            self.chunks.clear()
+            self.after.clear()
             self.held = 0
         self.held += size
         cache[text] = ids
@@ -133,10 +133,15 @@ class ByteBpe:
             self._keep(self.pieces, piece, got)
         return got
 
-    def _chunk(self, chunk: str) -> bytes:
-        ids = b"".join([self._piece(piece) for piece in self.pattern.findall(chunk)])
-        self._keep(self.chunks, chunk, ids)
-        return ids
+    def _matched(self, text: str) -> bytes:
+        return b"".join([self._piece(piece) for piece in self.pattern.findall(text)])
+
+    def _after(self, cut: str) -> bytes:
+        got = self.after.get(cut)
+        if got is None:
+            got = self._matched(" " + cut)
+            self._keep(self.after, cut, got)
+        return got
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids of each match of the pattern in turn, as little-endian unsigned 32-bit integers.
@@ -147,11 +152,13 @@ class ByteBpe:
         if not text:
             return b""
         if _ODD_SPACE.search(text):
-            return b"".join([self._piece(piece) for piece in self.pattern.findall(text)])
+            return self._matched(text)
         first, *rest = text.split(" ")
-        cuts = [first, *[" " + c for c in rest]]
-        get = self.chunks.get
-        return b"".join([get(c) or self._chunk(c) for c in cuts])
+        start = self._matched(first)
+        try:
+            return start + b"".join(map(self.after.__getitem__, rest))
+        except KeyError:
+            return start + b"".join(map(self._after, rest))
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
