@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from parcelpay.llm.common import slices, text_or_empty
 
 #: Characters of cached pieces, cuts and their ids that a worker holds at most.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 256 << 20
 _ODD_SPACE = re.compile(r" (?=\s|\Z)")
 _codecs: dict[tuple[str, str], "ByteBpe"] = {}
 
@@ -124,12 +124,15 @@ class ByteBpe:
         self.held += size
         cache[text] = ids
 
+    def _ids(self, piece: str) -> bytes:
+        token = piece.encode()
+        whole = self.table.get(token)
+        return np.array((whole,) if whole >= 0 else self.merge(token), "<u4").tobytes()
+
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            token = piece.encode()
-            whole = self.table.get(token)
-            got = np.array((whole,) if whole >= 0 else self.merge(token), "<u4").tobytes()
+            got = self._ids(piece)
             self._keep(self.pieces, piece, got)
         return got
 
@@ -139,7 +142,9 @@ class ByteBpe:
     def _after(self, cut: str) -> bytes:
         got = self.after.get(cut)
         if got is None:
-            got = self._matched(" " + cut)
+            pieces = self.pattern.findall(" " + cut)
+            # A cut that is one piece is held once.
+            got = self._ids(pieces[0]) if len(pieces) == 1 else b"".join(map(self._piece, pieces))
             self._keep(self.after, cut, got)
         return got
 
