@@ -126,6 +126,16 @@ def test_licenses_wrapped(spark):
     assert all(x["family"] == f for x in got if x["confirmed"] for i, f in notices if i == x["doc_id"])
 
 
+def test_license_words_are_never_passed_over(spark):
+    words = ["license", "licensed", "2.0", "gpl", "redistribution"]
+    r = random.Random(1)
+    parts = [*words, " ", ".", "-", "a", "Redistribution", "é", "1", "x."]
+    df = spark.createDataFrame([("".join(r.choices(parts, k=6)),) for _ in range(2000)], "t string")
+    found = df.select(licenses._may_hold(F.col("t"), words).alias("may"), F.arrays_overlap(licenses.words_of(F.col("t")), licenses._constant(words)).alias("has"))
+    got = {(x["may"], x["has"]) for x in found.distinct().collect()}
+    assert (False, True) not in got and len(got) == 3
+
+
 def brute_components(texts, size, percent):
     sets = {}
     for i, t in texts:
