@@ -46,6 +46,13 @@ def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Arrow batches of the session hold ``size`` bytes at most from now on, unless it already has a smaller bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= size:
+        spark.conf.set(key, f"{size}b")
+
+
 def text_or_empty(text: str) -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 

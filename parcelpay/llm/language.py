@@ -32,6 +32,7 @@ CACHE_WORDS = 200_000
 CACHE_LETTERS = 8_000_000
 MAX_ROWS = 30_000
 BLOCK_WORDS = 400_000
+BLOCK_SCORES = 2_000_000
 _WORD = re.compile(r"[^\W\d_]+")
 _LETTERS = regex.compile(r"\p{L}+")
 _SCRIPT = {name: re.compile(f"[{chars}]") for name, chars in SCRIPTS.items()}
@@ -43,6 +44,11 @@ def words_of(text: str) -> list[str]:
     return words if all(map(str.isalpha, words)) else _LETTERS.findall(text)
 
 
+def _gram_keys(first: np.ndarray, middle: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Three code points of at most 21 bits as one whole number."""
+    return first << 42 | middle << 21 | last
+
+
 @dataclass
 class LanguageModel:
     langs: list[str]
@@ -52,39 +58,63 @@ class LanguageModel:
     cache: dict[str, int] = field(default_factory=dict)
     letters: int = 0
     table: np.ndarray | None = None
+    sorted_grams: tuple[np.ndarray, np.ndarray] | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"cache": {}, "letters": 0, "table": None}
-
-    def score(self, word: str) -> np.ndarray:
-        """Log score per language; -inf outside the candidates of the word's script."""
-        w = f" {word.lower()} "
-        total = np.zeros(len(self.langs))
-        for i in range(len(w) - 2):
-            total += self.grams.get(w[i : i + 3], self.unseen)
-        script = next((s for s, p in _SCRIPT.items() if p.match(word)), "other")
-        allowed = self.scripts.get(script)
-        return total if allowed is None or allowed.all() else np.where(allowed, total, -1e6)
+        return self.__dict__ | {"cache": {}, "letters": 0, "table": None, "sorted_grams": None}
+
+    def _sorted_grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Known trigrams as ascending whole numbers, and their scores; a last key beyond all stands for unseen ones."""
+        if self.sorted_grams is None:
+            points = np.array([list(map(ord, g)) for g in self.grams], np.int64).reshape(-1, 3)
+            keys = _gram_keys(points[:, 0], points[:, 1], points[:, 2])
+            order = np.argsort(keys)
+            known = np.array(list(self.grams.values()), np.float64).reshape(len(keys), len(self.langs))[order]
+            self.sorted_grams = np.append(keys[order], np.iinfo(np.int64).max), np.vstack([known, self.unseen])
+        return self.sorted_grams
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Log score per language of every word; far below all others outside the candidates of the word's script.
+
+        A word has one trigram around each of its letters, blanks at its ends included.
+        """
+        keys, known = self._sorted_grams()
+        points = np.frombuffer(f" {' '.join(words).lower()} ".encode("utf-32-le"), np.uint32).astype(np.int64)
+        letters = np.flatnonzero(points != 32)
+        wanted = _gram_keys(points[letters - 1], points[letters], points[letters + 1])
+        at = np.searchsorted(keys, wanted)
+        at[keys[at] != wanted] = len(keys) - 1
+        total = np.add.reduceat(known[at], np.flatnonzero(points[letters - 1] == 32), axis=0)
+        firsts, of_word = np.unique([w[0] for w in words], return_inverse=True)
+        allowed = np.ones((len(firsts), len(self.langs)), bool)
+        for i, first in enumerate(firsts):
+            script = next((s for s, p in _SCRIPT.items() if p.match(first)), "other")
+            if script in self.scripts:
+                allowed[i] = self.scripts[script]
+        return np.where(allowed[of_word], total, -1e6)
 
     def index(self, words: list[str]) -> np.ndarray:
-        try:
-            return np.array([self.cache[w] for w in words], np.int64)
-        except KeyError:
-            new = {w for w in words if w not in self.cache}
-            if len(self.cache) + len(new) > CACHE_WORDS or self.letters > CACHE_LETTERS:
-                self.cache.clear()
-                self.letters, new = 0, set(words)
-            need = len(self.cache) + len(new)
-            if self.table is None or need > len(self.table):
-                grown = np.zeros((max(2 * need, 1024), len(self.langs)), np.float32)
-                if self.table is not None:
-                    grown[: len(self.table)] = self.table
-                self.table = grown
-            for w in new:
-                self.table[len(self.cache)] = self.score(w)
-                self.cache[w] = len(self.cache)
-                self.letters += len(w)
-            return np.array([self.cache[w] for w in words], np.int64)
+        """Rows of the words in ``table``; new words are scored together, in blocks bounded by their letters."""
+        new = list(set(words) - self.cache.keys())
+        if len(self.cache) + len(new) > CACHE_WORDS or self.letters > CACHE_LETTERS:
+            self.cache.clear()
+            self.letters, new = 0, list(set(words))
+        need = len(self.cache) + len(new)
+        if self.table is None or need > len(self.table):
+            grown = np.zeros((max(2 * need, 1024), len(self.langs)), np.float32)
+            if self.table is not None:
+                grown[: len(self.table)] = self.table
+            self.table = grown
+        room, first, held = max(1, BLOCK_SCORES // len(self.langs)), 0, 0
+        for last, word in enumerate(new, 1):
+            held += len(word)
+            if held >= room or last == len(new):
+                block = new[first:last]
+                self.table[len(self.cache) : len(self.cache) + len(block)] = self.scores(block)
+                self.cache.update(zip(block, range(len(self.cache), len(self.cache) + len(block)), strict=True))
+                self.letters += held
+                first, held = last, 0
+        return np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
 
 
 def train_language(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", max_rows: int = MAX_ROWS) -> LanguageModel:
@@ -188,13 +218,14 @@ def label_texts(texts: list[str | None], model: LanguageModel) -> list[tuple[str
             out[i] = (model.langs[top], float(letters[top] / letters.sum()), spans)
         mixed.clear()
 
-    held = 0
-    for i, text in enumerate(texts):
-        words = words_of(text) if text and model.langs else []
+    cut = [words_of(text) if text and model.langs else [] for text in texts]
+    ids = model.index([w for words in cut for w in words]) if any(cut) else np.empty(0, np.int64)
+    held = start = 0
+    for i, words in enumerate(cut):
         if not words:
             continue
-        ids = model.index(words)
-        scores = model.table[ids]
+        scores = model.table[ids[start : start + len(words)]]
+        start += len(words)
         state = single_state(scores)
         if state >= 0:
             out[i] = (model.langs[state], 1.0, [(0, len(words), model.langs[state])])
@@ -208,12 +239,12 @@ def label_texts(texts: list[str | None], model: LanguageModel) -> list[tuple[str
     return out
 
 
-def _predict(shared, spans: bool):
+def _predict(shared, spans: bool, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in slices(batch, batch.num_columns - 1):
-                labels = label_texts(part.column(part.num_columns - 1).to_pylist(), model)
+            for part in slices(batch, text_at):
+                labels = label_texts(part.column(text_at).to_pylist(), model)
                 cols = [*part.columns, pa.array([x[0] for x in labels], pa.string()), pa.array([x[1] for x in labels], pa.float64())]
                 names = [*part.schema.names, "lang_pred", "score"]
                 if spans:
@@ -230,9 +261,10 @@ def identify(docs: DataFrame, model: LanguageModel, *, keys: list[str], text_col
     """``keys`` of every row with lang_pred, score (share of letters in that language) and on request spans of words.
 
     Null texts and texts without a letter are ``und`` with score 0. Only ``keys`` and the text are read; ``keys``
-    must not be named lang_pred, score, spans or _text.
+    must not be named lang_pred, score, spans or _text. A text column that is a key, too, is sent to the workers once.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keys, F.col(text_col).alias("_text"))
+    own = text_col in keys
+    rows = docs.select(*keys) if own else docs.select(*keys, F.col(text_col).alias("_text"))
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keys).schema] + ["lang_pred string", "score double"])
-    return rows.mapInArrow(_predict(shared, spans), fields + (", spans array<struct<first:int,end:int,lang:string>>" if spans else ""))
+    return rows.mapInArrow(_predict(shared, spans, keys.index(text_col) if own else len(keys)), fields + (", spans array<struct<first:int,end:int,lang:string>>" if spans else ""))
