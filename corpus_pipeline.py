@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelpay.llm import exact_dedup, language, near_dedup, quality
-from parcelpay.llm.common import Store
+from parcelpay.llm.common import Store, bound_batches
 from parcelpay.llm.queries import pack_tokens, ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _ready(spark: SparkSession) -> None:
+    """Executors have the package, and Arrow batches, which hold all columns of a document here, are bounded by bytes."""
+    ship(spark)
+    bound_batches(spark)
+
+
 def _with_private_names(docs: DataFrame, score: Callable[[DataFrame, list[str], str], DataFrame]) -> DataFrame:
     """All columns under names that clash with nothing, and the columns that ``score`` adds."""
     names = [f"_c{i}" for i in range(len(docs.columns))]
@@ -26,7 +32,7 @@ def _restored(scored: DataFrame, docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; null texts and texts without a letter go."""
-    ship(spark)
+    _ready(spark)
     model = language.train_language(docs)
     scored = _with_private_names(docs, lambda d, keys, text: language.identify(d, model, keys=keys, text_col=text))
     return _restored(scored.where(F.col("lang_pred") != "und"), docs)
@@ -37,7 +43,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Labels of one kind only rank nothing, so all documents stay then.
     """
-    ship(spark)
+    _ready(spark)
     model = quality.train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     if not model.trained:
         return docs
@@ -53,7 +59,7 @@ def _private(docs: DataFrame) -> tuple[DataFrame, str, str]:
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts; null text counts as empty, and null ids come last."""
-    ship(spark)
+    _ready(spark)
     kept = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
     rows, doc, text = _private(docs)
     own = F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]", ""), 256)
@@ -72,7 +78,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of rows that repeat an id only those go whose own text is in a component with a smaller id. Rows without an id or
     without words stay.
     """
-    ship(spark)
+    _ready(spark)
     gone = near_dedup.near_dedup(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     rows, doc, text = _private(docs)
     same = (F.col(doc) == F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_key"))
@@ -81,7 +87,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every document piece, in token ids, in the packed sequences."""
-    ship(spark)
+    _ready(spark)
     return pack_tokens(spark, docs)
 
 
