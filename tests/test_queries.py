@@ -19,7 +19,7 @@ CHECKED = (
     "export_stats", "copied_sheet_guard", "pickup_pay", "bulky_only_rows", "route_split", "penalty_by_kind",
     "statement_all", "fleet_summary_with_route", "dispatcher_directory", "forecast", "combined_forecast",
     "net_dispatch_stored", "rate_card_overlaps", "rewritten_periods", "mixed_dates", "date_shape_counts", "csv_rejects",
-    "mostly_copied_sheet", "stored_export_counts",
+    "mostly_copied_sheet", "stored_export_counts", "joint_forecast", "joint_components",
 )
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="tables not present")

@@ -601,3 +601,43 @@ _sql("combined_forecast", f"""
 _sql("history_and_forecast", """
     SELECT series, ds, 'Historical' AS type, round(y, 6) y FROM ev_points
     UNION ALL SELECT series, ds, 'Forecast', round(yhat, 6) FROM evw_ahead""")
+
+
+# Joint fit: terms 1 to 12 are level, slope, breaks at 0.2, 0.4 and 0.6 of the history, and Monday to Sunday.
+_TERM = """CASE WHEN i = 1 THEN 1.0 WHEN i = 2 THEN t WHEN i = 3 THEN greatest(t - 0.8 * 1 / 4, 0) WHEN i = 4 THEN greatest(t - 0.8 * 2 / 4, 0)
+           WHEN i = 5 THEN greatest(t - 0.8 * 3 / 4, 0) WHEN isodow(ds) = i - 5 THEN 1.0 ELSE 0.0 END"""
+_RIDGE = "CASE WHEN i = 1 THEN 0.0 WHEN i = 2 THEN 1e-6 WHEN i <= 5 THEN 1.0 ELSE 0.01 END"
+_JOINT = f"""WITH RECURSIVE ev_points AS ({CTE['ev_points']}),
+    j_head AS (SELECT series, min(ds) f, max(ds) l, avg(y) my, count(*) n FROM ev_points GROUP BY series HAVING count(*) >= 7),
+    j_at AS (SELECT series, ds, y - my r, CAST(date_diff('day', f, ds) AS DOUBLE) / greatest(date_diff('day', f, l), 1) t
+             FROM ev_points JOIN j_head USING (series)),
+    j_x AS (SELECT series, ds, r, i, CAST({_TERM} AS DOUBLE) v FROM j_at, range(1, 13) q(i)),
+    j_b AS (SELECT series, i, sum(v * r) b FROM j_x GROUP BY ALL),
+    j_g AS (SELECT a.series, a.i, c.i j, sum(a.v * c.v) g FROM j_x a JOIN j_x c ON a.series = c.series AND a.ds = c.ds GROUP BY ALL),
+    j_cells AS (SELECT series, i, j, g + CASE WHEN i = j THEN {_RIDGE} ELSE 0 END v FROM j_g
+                UNION ALL SELECT series, i, 13, b FROM j_b
+                UNION ALL SELECT series, i, 13 + j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END FROM j_g),
+    j_rows AS (SELECT series, i, list(CAST(v AS DOUBLE) ORDER BY j) w FROM j_cells GROUP BY series, i),
+    j_steps AS (SELECT series, 1 k, list(w ORDER BY i) m FROM j_rows GROUP BY series
+                UNION ALL
+                SELECT series, k + 1, list_transform(m, lambda w, i: CASE WHEN i = k THEN list_transform(w, lambda x: x / m[k][k])
+                  ELSE list_transform(w, lambda x, j: x - m[k][j] * w[k] / m[k][k]) END) FROM j_steps WHERE k <= 12),
+    j_beta AS (SELECT series, i, m[i][13] beta, m[i][13 + i] own, m FROM j_steps, range(1, 13) q(i) WHERE k = 13),
+    j_sd AS (SELECT series, sqrt(greatest(any_value(rr) - sum(beta * b + {_RIDGE} * beta * beta), 0)
+                                 / greatest(any_value(n) - 12 + sum({_RIDGE} * own), 1)) sd
+             FROM j_beta JOIN j_b USING (series, i) JOIN j_head USING (series)
+                  JOIN (SELECT series, sum(r * r) rr FROM j_at GROUP BY series) USING (series) GROUP BY series)"""
+ORACLE["joint_forecast"] = f"""{_JOINT},
+    j_days AS (SELECT series, CAST(l + CAST(h AS INTEGER) AS DATE) ds, my,
+                      CAST(date_diff('day', f, l) + h AS DOUBLE) / greatest(date_diff('day', f, l), 1) t FROM j_head, range(1, 31) q(h)),
+    j_new AS (SELECT series, ds, my, i, CAST({_TERM} AS DOUBLE) v FROM j_days, range(1, 13) q(i)),
+    j_hat AS (SELECT series, ds, any_value(my) + sum(v * beta) yhat FROM j_new JOIN j_beta USING (series, i) GROUP BY series, ds),
+    j_var AS (SELECT a.series, a.ds, sum(a.v * c.v * m[a.i][13 + c.i]) q FROM j_new a JOIN j_new c ON a.series = c.series AND a.ds = c.ds
+              JOIN j_beta ON j_beta.series = a.series AND j_beta.i = a.i GROUP BY a.series, a.ds)
+    SELECT series, ds, round(yhat, 6) yhat, round(yhat - {Z} * sd * sqrt(1 + q), 6) yhat_lower, round(yhat + {Z} * sd * sqrt(1 + q), 6) yhat_upper
+    FROM j_hat JOIN j_var USING (series, ds) JOIN j_sd USING (series)"""
+ORACLE["joint_components"] = f"""{_JOINT}
+    SELECT series, n points, round(max(beta) FILTER (i = 2) / greatest(date_diff('day', f, l), 1), 6) slope_first,
+           round(sum(beta) FILTER (i BETWEEN 2 AND 5) / greatest(date_diff('day', f, l), 1), 6) slope_last, round(sd, 6) spread,
+           {', '.join(f'round(max(beta) FILTER (i = {6 + w}), 6) weekday_{w}' for w in range(7))}
+    FROM j_beta JOIN j_head USING (series) JOIN j_sd USING (series) GROUP BY series, n, f, l, sd"""

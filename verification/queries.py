@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcelpay.functions import dates, numbers, text
-from parcelpay.operators import date_shapes, delivery, extras, penalties, period, trends
+from parcelpay.operators import date_shapes, delivery, extras, joint_trend, penalties, period, trends
 from parcelpay.operators.directory import all_dispatchers, directory
 from parcelpay.operators.overlap import exclude_pairs, exclude_waybills, net_dispatch, waybill_pairs
 from parcelpay.plans import export, fleet, invoice, statement
@@ -791,3 +791,13 @@ def combined_forecast(spark, d):
 def history_and_forecast(spark, d):
     points = _event_series(spark, d)
     return _rounded(trends.history_and_forecast(points, trends.forecast(points, 7)))
+
+
+@query
+def joint_forecast(spark, d):
+    return _rounded(joint_trend.joint_forecast(_event_series(spark, d), RULES.forecast_days))
+
+
+@query
+def joint_components(spark, d):
+    return _rounded(joint_trend.joint_components(_event_series(spark, d)))
