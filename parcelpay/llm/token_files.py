@@ -10,7 +10,8 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,10 @@ ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
 }
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 # White space other than blank, tab and line ends: such texts are encoded whole.
 _RARE_WHITE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-_PLAIN = re.compile("[!-~\u00c0-\u012f\u0132-\u017e]+")
+_PLAIN = re.compile("[ \t\r\n!-~\u00c0-\u012f\u0132-\u017e]+")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -45,58 +46,55 @@ def _byte_letters() -> list[str]:
 _BYTE_LETTERS = _byte_letters()
 
 
+class _Memory(dict):
+    """Results by key, made when first asked for; emptied when full."""
+
+    def __init__(self, make: Callable[[str], bytes], room: int):
+        super().__init__()
+        self.make, self.room = make, room
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.room:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
+
+
+def _plain(text: str) -> bool:
+    """Composed Latin text: lower-casing is all the normalizer does to it, and blanks and pieces never join."""
+    return _PLAIN.fullmatch(text) is not None and "<|" not in text and unicodedata.is_normalized("NFC", text)
+
+
 class WordEncoder:
-    """A tokenizer whose words are encoded apart (word ends, white space dropped), each distinct word once.
+    """A tokenizer asked once for each distinct piece of plain texts, and for each distinct word of others.
 
-    The cache is a bounded memory of results and is emptied when full; it never changes an id.
+    The memory of ids (int32 bytes) is bounded and never changes an id. Words that are not plain are no pieces of plain
+    texts, so both share it.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache_words = cache_words
-        self.words: dict[str, bytes] = {}  # ids as int32
-        self.pieces: dict[str, list[int]] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        rest = []
-        for w in words:
-            # Blanks never cross a word and lower-casing is all the normalizer does to composed Latin letters, so the
-            # model may be asked for each piece of such a word.
-            if _PLAIN.fullmatch(w) and "<|" not in w and unicodedata.is_normalized("NFC", w):
-                ids = [i for p in _PIECES.findall(w.lower()) for i in (self.pieces.get(p) or self._piece(p))]
-                self.words[w] = np.array(ids, np.int32).tobytes()
-            else:
-                rest.append(w)
-        for i in range(0, len(rest), 20_000):
-            part = rest[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.words[w] = np.array(e.ids, np.int32).tobytes()
-
-    def _piece(self, piece: str) -> list[int]:
-        if len(self.pieces) >= self.cache_words:
-            self.pieces.clear()
-        spelled = piece if piece.isascii() else "".join(map(_BYTE_LETTERS.__getitem__, piece.encode()))
-        ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(spelled)]
-        return ids
+        self.known = _Memory(self._make, cache_words)
+
+    def _make(self, key: str) -> bytes:
+        if _plain(key):
+            spelled = key if key.isascii() else "".join(map(_BYTE_LETTERS.__getitem__, key.encode()))
+            return array("i", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+        return array("i", self._ids(key)).tobytes()
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str) -> np.ndarray:
         if _RARE_WHITE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
-        words = text.split()
-        if not words:
-            return np.empty(0, np.int32)
-        try:
-            return np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.int32)
-        except KeyError:
-            distinct = set(words)
-            unknown = distinct.difference(self.words)
-            if len(self.words) + len(unknown) > self.cache_words:
-                self.words.clear()
-                unknown = distinct
-            self._learn(list(unknown))
-        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.int32)
+            return np.array(self._ids(text), np.int32)
+        if _plain(text):
+            keys = _PIECES.findall(text.lower())
+        else:
+            keys = [k for w in text.split() for k in (_PIECES.findall(w.lower()) if _plain(w) else (w,))]
+        return np.frombuffer(b"".join(map(self.known.__getitem__, keys)), np.int32)
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -185,7 +183,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column(batch.num_columns - 1)
         offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-        crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        crc = [zlib.crc32(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         n = pa.array(np.diff(offsets).astype(np.int64))
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n, pa.array(crc, pa.int64())], names=[*batch.schema.names[:-1], "n_tokens", "ids_crc32"])
 
