@@ -28,7 +28,7 @@ ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
 }
-CACHE_WORDS = 800_000
+CACHE_WORDS = 600_000
 # White space other than blank, tab and line ends: such texts are encoded whole.
 _RARE_WHITE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 _PLAIN = re.compile("[ \t\r\n!-~\u00c0-\u012f\u0132-\u017e]+")
