@@ -182,14 +182,11 @@ class Rules:
             a = raw["advance_payout"] or {}
             out["advance"] = AdvanceRule(bool(a.get("enabled", False)), money(a.get("percentage", 0)))
         if "weight_tiers" in raw:
-            rates = [money(t["rate"]) for t in sorted(raw["weight_tiers"], key=lambda t: t["min"])]
+            rates = tuple(money(t["rate"]) for t in sorted(raw["weight_tiers"], key=lambda t: t["min"]))
             if not rates:
                 raise ValueError("weight_tiers must hold at least one rate")
-            # With fewer than four tiers, the second tier falls back to the first, others to the last.
-            second = rates[1] if len(rates) > 1 else rates[0]
-            third = rates[2] if len(rates) > 2 else rates[-1]
-            fourth = rates[3] if len(rates) > 3 else rates[-1]
-            out["weight_tiers"] = WeightTiers((rates[0], second, third, fourth))
+            # The heaviest tier given also prices all heavier ones.
+            out["weight_tiers"] = WeightTiers((rates + rates[-1:] * 3)[:4])
         if "bulky_rates" in raw:
             b = raw["bulky_rates"]
             out["bulky"] = BulkyRates(
@@ -242,16 +239,18 @@ def _special_rate(row: Mapping[str, Any]) -> SpecialRate | None:
     )
 
 
+def _listed(value: Any) -> tuple[str, ...]:
+    """One id or several as stripped text; blank ones go."""
+    several = value if isinstance(value, (list, tuple)) else [value]
+    return tuple(i for i in (str(v).strip() for v in several if v is not None) if i)
+
+
+#: Settings of a designated driver and how each is read; those not given keep their default.
+_DRIVER_SETTINGS = {"basic_amount": money, "basic_parcels": int, "rate_after_basic": money}
+
+
 def _designated(row: Mapping[str, Any]) -> DesignatedDriver:
-    raw_ids = row.get("dispatcher_ids") or row.get("dispatcher_id") or ()
-    if isinstance(raw_ids, str):
-        raw_ids = (raw_ids,)
-    ids = tuple(str(i).strip() for i in raw_ids if i is not None and str(i).strip())
-    base = DesignatedDriver(ids=ids)
-    return replace(
-        base,
-        basic_amount=money(row.get("basic_amount", base.basic_amount)),
-        basic_parcels=int(row.get("basic_parcels", base.basic_parcels)),
-        rate_after_basic=money(row.get("rate_after_basic", base.rate_after_basic)),
-        kpi=_kpi(row["kpi_incentives"]) if "kpi_incentives" in row else base.kpi,
-    )
+    given: dict[str, Any] = {name: read(row[name]) for name, read in _DRIVER_SETTINGS.items() if name in row}
+    if "kpi_incentives" in row:
+        given["kpi"] = _kpi(row["kpi_incentives"])
+    return DesignatedDriver(_listed(row.get("dispatcher_ids") or row.get("dispatcher_id")), **given)
