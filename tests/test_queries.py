@@ -20,6 +20,8 @@ CHECKED = (
     "statement_all", "fleet_summary_with_route", "dispatcher_directory", "forecast", "combined_forecast",
     "net_dispatch_stored", "rate_card_overlaps", "rewritten_periods", "mixed_dates", "date_shape_counts", "csv_rejects",
     "mostly_copied_sheet", "stored_export_counts", "joint_forecast", "joint_components",
+    "statement_in_period", "statement_one_dispatcher", "fleet_summary_with_attendance", "fleet_display",
+    "dispatch_in_return_tab",
 )
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="tables not present")

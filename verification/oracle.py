@@ -259,6 +259,9 @@ _sql("copied_sheet_guard", f"""
     UNION ALL SELECT 'return', count(*) FROM ret""")
 _sql("mostly_copied_sheet", f"""
     SELECT CAST(95 AS BIGINT) AS share, CAST(0 AS BIGINT) AS rows UNION ALL SELECT 20, count(*) FROM dispatch""")
+_sql("dispatch_in_return_tab", f"""
+    SELECT 'dispatch' tab, CAST(0 AS BIGINT) AS rows UNION ALL SELECT 'reason', count(*) FROM dispatch
+    UNION ALL SELECT 'return', count(*) FROM ret""")
 _sql("sheet_fingerprint", f"SELECT {ROWS}, CAST(1 AS BIGINT) fingerprints FROM pickup")
 _sql("default_period", """
     SELECT greatest(CAST(min(ts) AS DATE), CAST(date_trunc('month', max(ts)) AS DATE)) period_start,
@@ -448,19 +451,14 @@ _STATEMENT = f"""
       {_d('overpaid', 'overpaid_deduction')}, {_n('awb', 'total_awb')}, {_d('gross', 'gross_payout')},
       {_d('advance', 'advance_payout')}, {_d('final', 'final_payout')} FROM final"""
 _sql("statement_all", _STATEMENT)
-_sql("statement_one_dispatcher", f"""
-    SELECT k dispatcher_key, {_d('base', 'base_payout')}, {_d('gross', 'gross_payout')}, {_d('final', 'final_payout')}
-    FROM final WHERE k = '7'""")
+_sql("statement_one_dispatcher", f"{_STATEMENT} WHERE k = '7'")
 
 # The same statement with every dated sheet cut to the period.
 _full = dict(CTE)
 for _c in ("dispatch", "ret", "pickup", "bulky"):
     CTE[_c] = f"SELECT * FROM ({_full[_c]}) WHERE {_IN}"
 CTE["ev"] = f"SELECT * FROM ({_full['ev']}) WHERE {_IN}"
-_sql("statement_in_period", f"""
-    SELECT k dispatcher_key, {_n('parcels', 'delivery_parcels')}, {_n('working', 'working_days')}, {_d('base', 'base_payout')},
-      {_n('pick_n', 'pickup_parcels')}, {_n('ret_n', 'return_parcels')}, {_d('pen', 'penalty_total')}, {_d('gross', 'gross_payout')},
-      {_d('advance', 'advance_payout')}, {_d('final', 'final_payout')} FROM final""")
+_sql("statement_in_period", _STATEMENT)
 CTE.clear()
 CTE.update(_full)
 
@@ -498,7 +496,7 @@ _sql("invoice_lines", _line_union("k dispatcher_key, ", "final", [
     ("Advance Payout", "NULL", "-advance", "true"),
     ("Final Payout", "NULL", "final", "true"),
 ]))
-_sql("fleet_summary", f"""
+_FLEET = f"""
     SELECT k dispatcher_key, nm dispatcher_name, {_n('n + ret_n + bulky_n', 'parcels_delivered')},
       {_n('n + ret_n + bulky_n + pick_n', 'total_awb')}, {_TIERS}, {_d('wt', 'total_weight')},
       CASE WHEN n > 0 THEN CAST(wt AS DOUBLE) / n ELSE 0 END avg_weight, {_d('disp', 'dispatch_payout')},
@@ -506,12 +504,16 @@ _sql("fleet_summary", f"""
       {_n('pick_n', 'pickup_parcels')}, {_d('pick', 'pickup_payout')}, {_n('ret_n', 'return_parcels')}, {_d('ret', 'return_payout')},
       {_n('bulky_n', 'bulky_parcels')}, {_d('bulky', 'bulky_payout')}, {_d('reward', 'reward')}, {_d('rental', 'rental')},
       {_KINDS_AS_DOUBLE}, {_d('pen', 'penalty_amount')}, {_n('pen_n', 'penalty_count')}, {_d('socso', 'socso_deduction')},
-      {_d('overpaid', 'overpaid_deduction')}, {_d('total', 'total_payout')} FROM fleet""")
+      {_d('overpaid', 'overpaid_deduction')}, {_d('total', 'total_payout')} FROM fleet"""
+_sql("fleet_summary", _FLEET)
 CTE["wide_m"] = _wide("pen_m", "m")
-_sql("fleet_summary_with_route", f"""
-    SELECT k dispatcher_key, {_d('route_penalty', 'route_penalty')}, {_d('pen', 'penalty_amount')}, {_n('pen_n', 'penalty_count')},
-           {_d('total', 'total_payout')} FROM fleet""")
+_sql("fleet_summary_with_route", _FLEET)
 CTE["wide_m"] = _full["wide_m"]
+CTE["pen_m"] = f"""{_full['pen_m']} UNION ALL
+    SELECT k, kind, CAST(round(sum(v), 2) AS DECIMAL(18,2)), 0 FROM recs
+    WHERE kind = 'attendance' AND v > 0 AND k NOT LIKE '%7' GROUP BY 1, 2"""
+_sql("fleet_summary_with_attendance", _FLEET)
+CTE["pen_m"] = _full["pen_m"]
 _sql("fleet_totals", f"""
     SELECT dispatchers, {_n('delivered', 'parcels_delivered')}, {_n('awb', 'total_awb')}, {_n('pick_n', 'pickup_parcels')},
       {_n('ret_n', 'return_parcels')}, {_n('bulky_n', 'bulky_parcels')}, {_n('pen_n', 'penalty_count')}, {_d('wt', 'total_weight')},
@@ -544,9 +546,17 @@ def _minus(x: str) -> str:
     return f"CASE WHEN {x} > 0 THEN '-' || {_rm(x)} ELSE 'RM0.00' END"
 
 
+_SHOWN = {
+    "dispatch_payout": _rm("disp"), "pickup_payout": _rm("pick"), "return_payout": _rm("ret"), "bulky_payout": _rm("bulky"),
+    "reward": _rm("reward"), "total_payout": _rm("total"), "penalty_amount": _minus("pen"), "rental": _minus("rental"),
+    "socso_deduction": _minus("socso"), "overpaid_deduction": _minus("overpaid"),
+    "total_weight": "format('{:.2f}', CAST(wt AS DOUBLE))",
+    **{f"{k}_penalty": _minus(f"{k}_penalty") for k in KINDS},
+}
 _sql("fleet_display", f"""
-    SELECT k dispatcher_id, {_rm('total')} total_payout, {_minus('pen')} total_penalty, {_minus('rental')} rental,
-           {_rm('reward')} reward, {_rm('disp')} delivery_payout FROM fleet""")
+    SELECT k dispatcher_key, nm dispatcher_name, {_n('n + ret_n + bulky_n', 'parcels_delivered')},
+      {_n('n + ret_n + bulky_n + pick_n', 'total_awb')}, {_TIERS}, {_n('pick_n', 'pickup_parcels')}, {_n('ret_n', 'return_parcels')},
+      {_n('bulky_n', 'bulky_parcels')}, {', '.join(f'{x} AS {c}' for c, x in _SHOWN.items())} FROM fleet""")
 _sql("top_performers", f"""
     SELECT k dispatcher_key, nm dispatcher_name, {_d('total', 'total_payout')} FROM fleet ORDER BY total DESC, k LIMIT 10""")
 _sql("top_penalties", f"""
