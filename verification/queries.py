@@ -222,7 +222,7 @@ def missing_sheets(spark, d):
 def copied_sheet_guard(spark, d):
     """A "return" tab that is the dispatch tab again has no rows left; a real one keeps them."""
     raw = raw_sheets(spark, d, "dispatch", "return")
-    copy = raw_sheet(spark, d, "dispatch").repartition(3)
+    copy = raw_sheet(spark, d, "dispatch").hint("rebalance")  # other files, as many as the rows need
     parts = [
         ("copy", without_dispatch_copy(copy, raw["dispatch"])),
         ("part", without_dispatch_copy(copy.where("`Billing Weight` > 20"), raw["dispatch"])),
