@@ -80,10 +80,14 @@ def dispatcher_name(x: str, require_delimiter: bool = False) -> str:
     """Name without a known prefix and the blanks or dashes after it.
 
     By default the prefix needs no delimiter, so "AFIQ" becomes "IQ"; ``require_delimiter``
-    strips it only in front of a blank or a dash.
+    strips it only in front of a blank or a dash. Printable ASCII names take one match; only the
+    others take all steps.
     """
     delimiter = "[ -]+" if require_delimiter else "[ -]*"
-    return cell(f"regexp_replace({strip(x)}, r'^(?:{_PREFIX_GROUP}){delimiter}', '')")
+    words = "|".join(NULL_WORDS)
+    usual = rf"^(?! )(?>(?:{_PREFIX_GROUP}){delimiter})?+(?!(?i:{words}) *$)([!-~](?:[ -~]*[!-~])?) *\z"
+    full = cell(f"regexp_replace({strip(x)}, r'^(?:{_PREFIX_GROUP}){delimiter}', '')")
+    return f"coalesce(get(regexp_extract_all(cast({x} AS string), r'{usual}', 1), 0), {full})"
 
 
 def order_source(x: str) -> str:
