@@ -20,6 +20,15 @@ from parcelpay.operators.unions import union_all
 CROWD = 1000
 
 
+#: Rows that a bucket is meant to hold at most.
+BUCKET_ROWS = 500_000
+
+
+def buckets_for(sheet: DataFrame, least: int) -> int:
+    """Buckets for a sheet of that length: ``least`` for a short one, and as many more as its rows need."""
+    return max(least, -(-sheet.count() // BUCKET_ROWS))
+
+
 @dataclass(frozen=True)
 class StoredSheet:
     """``bucketed`` rows by waybill, and ``crowded`` rows without or with a very frequent one."""
@@ -41,9 +50,15 @@ def _crowding(sheets: Mapping[str, DataFrame]) -> DataFrame:
 def store(sheets: Mapping[str, DataFrame], folder: str, buckets: int, prefix: str = "stored") -> dict[str, StoredSheet]:
     """Write canonical sheets with a waybill as tables ``<prefix>_<sheet>`` and read them back.
 
-    All rows of a sheet stay, in one of the two parts; the same waybills are stored apart on every sheet.
+    All rows of a sheet stay, in one of the two parts; the same waybills are stored apart on every sheet. Sheets are
+    cleaned once, into files that the counts and both parts are then read from.
     """
     spark = next(iter(sheets.values())).sparkSession
+    cleaned = {}
+    for name, df in sheets.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{prefix}_{name}_cleaned")
+        cleaned[name] = spark.read.schema(df.schema).parquet(f"{folder}/{prefix}_{name}_cleaned")
+    sheets = cleaned
     _crowding(sheets).write.mode("overwrite").parquet(f"{folder}/{prefix}_crowding")
     crowding = spark.read.schema("waybill string").parquet(f"{folder}/{prefix}_crowding")
     for name, df in sheets.items():

@@ -359,7 +359,8 @@ def net_dispatch_stored(spark, d):
     """The net dispatch from sheets stored by waybill, whose overlaps need no shuffle of dispatch."""
     b = workbook(spark, d, *OVERLAP_SHEETS)
     stage = Stage(spark)
-    sheets = by_waybill.store({n: b[n] for n in OVERLAP_SHEETS}, stage.folder, 8, f"s{uuid.uuid4().hex}")
+    buckets = by_waybill.buckets_for(b["dispatch"], 8)
+    sheets = by_waybill.store({n: b[n] for n in OVERLAP_SHEETS}, stage.folder, buckets, f"s{uuid.uuid4().hex}")
     net = by_waybill.net_dispatch(sheets).rows
     return net.select("dispatcher_key", "waybill", F.to_date("event_ts").alias("day"), "weight")
 
@@ -367,7 +368,8 @@ def net_dispatch_stored(spark, d):
 @query
 def stored_export_counts(spark, d):
     b = workbook(spark, d, "dispatch", "return")
-    sheets = by_waybill.store({n: b[n] for n in ("dispatch", "return")}, Stage(spark).folder, 8, f"s{uuid.uuid4().hex}")
+    buckets = by_waybill.buckets_for(b["dispatch"], 8)
+    sheets = by_waybill.store({n: b[n] for n in ("dispatch", "return")}, Stage(spark).folder, buckets, f"s{uuid.uuid4().hex}")
     return by_waybill.export_counts(sheets["dispatch"], sheets["return"])
 
 
