@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,36 +19,48 @@ def _spread_nulls(df: DataFrame, column: str) -> str:
     return f"coalesce({column}, concat(' ', pmod(xxhash64({', '.join(others)}), 65536)))"
 
 
+def spread_blanks(rows: DataFrame, column: str) -> DataFrame:
+    """The rows with stand-ins for blank keys, for joins whose result shows neither the key nor what stand-ins are made of."""
+    return rows.withColumn(column, F.expr(_spread_nulls(rows, column)))
+
+
 def distinct_keys(sheet: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct non-blank keys. Copies of a hot key collapse before the shuffle."""
     return sheet.where(" AND ".join(f"{c} IS NOT NULL" for c in columns)).select(*columns).distinct()
 
 
-def _join(rows: DataFrame, sheet: DataFrame, columns: list[str], how: str) -> DataFrame:
+def _join(rows: DataFrame, sheet: DataFrame, columns: list[str], how: str, merge: bool = False) -> DataFrame:
     """Join with the distinct keys of a sheet; rows with a blank key match nothing.
 
     No hint: a key set that is small at run time is broadcast by the adaptive planner after its
     size is known. A large one is sorted and merged, and then the fact is the left side, the one
     that may be split where a partition is skewed. Spark splits only between plain shuffles, so
     the keys are made distinct as structs: their aggregation cannot double as the shuffle of the
-    join, and the join gets its own on both sides.
+    join, and the join gets its own on both sides. Stand-ins are computed in the join condition:
+    as columns they would be shuffled beside the keys they repeat.
     """
     names = [f"__match_{c}" for c in columns]
-    left = rows.selectExpr("*", *[f"{_spread_nulls(rows, c)} AS {n}" for c, n in zip(columns, names)])
     present = sheet.where(" AND ".join(f"{c} IS NOT NULL" for c in columns))
     keys = present.selectExpr(f"struct({', '.join(columns)}) AS key").distinct()
     matched = ["true AS __matched"] if how == "left" else []
     right = keys.selectExpr(*[f"key.{c} AS {n}" for c, n in zip(columns, names)], *matched)
-    return left.join(right, names, how)
+    if merge:
+        right = right.hint("merge")
+    same = [F.expr(_spread_nulls(rows, c)) == F.col(n) for c, n in zip(columns, names)]
+    return rows.join(right, reduce(lambda a, b: a & b, same), how)
 
 
 def _anti_join(rows: DataFrame, sheet: DataFrame, columns: list[str]) -> DataFrame:
     return _join(rows, sheet, columns, "left_anti").select(*rows.columns)
 
 
-def flag_matches(rows: DataFrame, sheet: DataFrame, columns: list[str], flag: str) -> DataFrame:
-    """All rows with a boolean: is the row's key on the sheet?"""
-    joined = _join(rows, sheet, columns, "left")
+def flag_matches(rows: DataFrame, sheet: DataFrame, columns: list[str], flag: str, merge: bool = False) -> DataFrame:
+    """All rows with a boolean: is the row's key on the sheet?
+
+    ``merge`` is for a sheet known to be long: the planner takes compressed files for their rows and
+    would broadcast many times what its threshold means.
+    """
+    joined = _join(rows, sheet, columns, "left", merge)
     return joined.select(*rows.columns, F.coalesce("__matched", F.lit(False)).alias(flag))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelpay.functions import text
 from parcelpay.functions.sql import name as quoted
-from parcelpay.operators.overlap import distinct_keys, exclude_waybills, flag_matches
+from parcelpay.operators.overlap import distinct_keys, exclude_waybills, flag_matches, spread_blanks
 from parcelpay.sources import headers as H
 from parcelpay.sources.guards import without_dispatch_copy
 from parcelpay.sources.sinks import write_report
@@ -42,7 +42,7 @@ def export_counters(dispatch: DataFrame, returned: DataFrame) -> DataFrame:
     if keyed is None:
         raise ValueError(f"no waybill column on the dispatch sheet; columns: {', '.join(dispatch.columns)}")
     column = H.WAYBILL.find(returned.columns)
-    rows = keyed.selectExpr("waybill", "xxhash64(source) AS source")
+    rows = spread_blanks(keyed.selectExpr("waybill", "xxhash64(source) AS source"), "waybill").select("waybill")
     if other is None:
         flagged, unique = rows.withColumn("returned", F.lit(False)), F.lit(0).cast("bigint")
     else:

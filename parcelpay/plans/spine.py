@@ -16,13 +16,17 @@ from pyspark.sql import functions as F
 from parcelpay.config import Rules
 from parcelpay.functions.numbers import MONEY, PARSED
 from parcelpay.operators import delivery, extras
-from parcelpay.operators.overlap import PAIR, flag_matches
+from parcelpay.operators.overlap import PAIR, flag_matches, spread_blanks
 from parcelpay.operators.penalties import route_shares
 from parcelpay.operators.unions import union_all
 from parcelpay.sources.stage import Stage
 from parcelpay.sources.workbook import Workbook
 
 
+#: More stored rows than these are not broadcast, however small their compressed files are.
+BROADCAST_ROWS = 100_000
+
+
 @dataclass(frozen=True)
 class Spine:
     """``dispatch``: dispatcher_key, dispatcher_name, day, tier, weight, net for every row with a dispatcher.
@@ -68,12 +72,16 @@ def build(book: Workbook, rules: Rules, stage: Stage, shared: bool = False) -> S
     dispatch = book["dispatch"].where("dispatcher_key IS NOT NULL")
     weight = _optional(dispatch, "weight", "double")
     rows = dispatch.selectExpr(*PAIR, "event_ts", "dispatcher_name", f"{weight} AS weight")
-    rows = flag_matches(rows, sides.where("source IN ('return', 'bulky')").select(*PAIR), PAIR, "excluded")
-    rows = flag_matches(rows, sides.where("source = 'pickup'").select("waybill"), ["waybill"], "picked_up")
+    rows = spread_blanks(rows, "waybill").selectExpr(*PAIR, "to_date(event_ts) AS day", "dispatcher_name", "weight")
+    pairs = sides.where("source IN ('return', 'bulky')").select(*PAIR)
+    picked = sides.where("source = 'pickup'").select("waybill")
+    long = {r["source"]: r["count"] for r in sides.groupBy("source").count().collect()}  # three rows at most
+    rows = flag_matches(rows, pairs, PAIR, "excluded", long.get("return", 0) + long.get("bulky", 0) > BROADCAST_ROWS)
+    rows = flag_matches(rows, picked, ["waybill"], "picked_up", long.get("pickup", 0) > BROADCAST_ROWS)
     flagged = rows.selectExpr(
         "dispatcher_key",
         "dispatcher_name",
-        "to_date(event_ts) AS day",
+        "day",
         f"cast({delivery.weight_tier('weight', rules.weight_tiers)} AS int) AS tier",
         "weight",
         "NOT excluded AND NOT picked_up AS net",

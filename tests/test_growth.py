@@ -1,6 +1,12 @@
 """Work and shuffles that have to grow with the tables and no faster."""
 
+from parcelpay import Workbook
+from parcelpay.functions import text
+from parcelpay.plans import fleet, spine
+from parcelpay.sources import by_waybill
+from parcelpay.sources.stage import Stage
 from verification.queries import QUERIES
+from verification.sheets import RULES, raw_sheets, workbook
 
 DATA = "/root/testdata/sf0.001"
 
@@ -8,3 +14,60 @@ DATA = "/root/testdata/sf0.001"
 def test_copied_sheet_is_dealt_by_its_size(spark):
     plan = QUERIES["copied_sheet_guard"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "RoundRobinPartitioning(3)" not in plan and "REBALANCE_PARTITIONS" in plan
+
+
+def _book(spark, frame):
+    dispatch = frame(
+        "Dispatcher ID, Dispatcher Name, Waybill Number, Delivery Signature, Billing Weight",
+        *[(i % 3, f"D{i % 3}", f"w{i}" if i % 5 else None, "2024-01-02", 3 + i) for i in range(40)],
+        *[(i % 3, f"D{i % 3}", f"w{i}", "2024-01-02", 7) for i in range(10)],
+    )
+    returned = frame("dispatcher_id, waybill_number", (1, "w1"), (1, "w1"), (2, "w4"), (0, None))
+    pickup = frame("Pick Up Dispatcher ID, Waybill", (2, "w2"), (2, None))
+    return Workbook.from_raw(spark, {"dispatch": dispatch, "return": returned, "pickup": pickup})
+
+
+def test_long_sides_are_merged_by_their_rows(spark, frame, monkeypatch):
+    seen = {}
+    for most in (100, 0):
+        monkeypatch.setattr(spine, "BROADCAST_ROWS", most)
+        found = spine.build(_book(spark, frame), RULES, Stage(spark)).dispatch
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan, "SortMergeJoin" in plan) == (most > 0, most == 0)
+        seen[most] = sorted(map(str, found.collect()))
+    gone = [r for r in seen[0] if "net=False" in r]
+    assert seen[0] == seen[100] and len(seen[0]) == 50 and len(gone) == 4  # w1 and w2 twice
+
+
+def test_blank_waybills_stay_in_the_summary(spark, frame, monkeypatch):
+    monkeypatch.setattr(spine, "BROADCAST_ROWS", 0)
+    rows = fleet.fleet_summary(_book(spark, frame), RULES).collect()
+    assert sum(sum(r[f"{t}_parcels"] for t in fleet.TIERS) for r in rows) == 46
+
+
+def test_usual_names_take_one_match_and_the_session_compiles_them(spark):
+    values = ["JMR - Ali ", "AFIQ", "AF", "jmr Ali", " JMR Ali", "JMR nan", "JMR Null x", "NONE ", "Ali\n", "JMR\tAli", "PEN-", "Zoë", ""]
+    df = spark.createDataFrame([(v,) for v in values], "x string").selectExpr(f"{text.dispatcher_name('x')} AS n")
+    assert [r.n for r in df.collect()] == ["Ali", "IQ", None, "jmr Ali", "Ali", None, "Null x", None, "Ali", "Ali", None, "Zoë", None]
+    assert text.dispatcher_name("x").startswith("coalesce(get(regexp_extract_all(")
+    raw_sheets(spark, DATA, "return")
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_sheets_are_cleaned_once_before_they_are_stored(spark, tmp_path):
+    sheet = workbook(spark, DATA, "return")["return"].repartition(3)
+    rows, read = sheet.count(), spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    stored = by_waybill.store({"return": sheet.mapInArrow(run, sheet.schema)}, str(tmp_path), 2, "once")
+    assert stored["return"].rows.count() == rows == read.value
+    spark.sql("DROP TABLE once_return")
+
+
+def test_buckets_grow_with_the_rows(spark):
+    assert by_waybill.buckets_for(spark.range(10), 8) == 8
+    assert by_waybill.buckets_for(spark.range(by_waybill.BUCKET_ROWS * 9 + 1), 8) == 10
