@@ -15,11 +15,32 @@ from parcelpay.sources.stage import Stage
 from parcelpay.sources.workbook import Workbook
 
 TIERS = tuple(f"tier{n}" for n in range(1, 5))
+WEIGHED = "weighed"
 PENALTY_COLUMNS = tuple(f"{k}_penalty" for k in penalties.KINDS)
 EARNINGS = ("dispatch_payout", "pickup_payout", "return_payout", "bulky_payout", "reward")
 DEDUCTIONS = ("penalty_amount", "rental", "socso_deduction", "overpaid_deduction")
 
 
+def dispatch_entries(dispatch: DataFrame) -> DataFrame:
+    """Net parcels by weight tier, their weight, and the rows that were only seen, per dispatcher and name.
+
+    The rows come dealt by waybill, so every task knows most dispatchers and sends one row for each: all measures
+    side by side, and not a row per measure.
+    """
+    counted = dispatch.groupBy("dispatcher_key", "dispatcher_name").agg(
+        *[F.expr(f"count_if(net AND tier = {n})").alias(t) for n, t in enumerate(TIERS, 1)],
+        F.expr("count_if(NOT net)").alias(M.SEEN),
+        F.expr("coalesce(sum(CASE WHEN net THEN cast(weight AS decimal(18,6)) END), 0) AS weight"),
+        F.expr(f"count_if(net AND weight IS NOT NULL) AS {WEIGHED}"),
+    )
+    counts = [f"named_struct('measure', '{m}', 'quantity', {m}, 'amount', 0BD, 'flagged', 0L)" for m in (*TIERS, M.SEEN)]
+    weight = f"named_struct('measure', '{WEIGHED}', 'quantity', {WEIGHED}, 'amount', weight, 'flagged', {WEIGHED})"
+    rows = counted.selectExpr("dispatcher_key", "dispatcher_name", f"inline(array({', '.join([*counts, weight])}))")
+    return M.entries(
+        rows.where("quantity > 0"), "measure", quantity="quantity", amount="amount", flagged="flagged", name="dispatcher_name"
+    )
+
+
 def fleet_summary(book: Workbook, rules: Rules, spine: S.Spine | None = None, stage: Stage | None = None) -> DataFrame:
     """One row per dispatcher known to any sheet.
 
@@ -32,10 +53,7 @@ def fleet_summary(book: Workbook, rules: Rules, spine: S.Spine | None = None, st
     pickup, returned = extras.countable(spine.side("pickup")), extras.countable(spine.side("return"))
     reward = book["reward"].where("amount > 0")
     parts = [
-        M.entries(
-            spine.dispatch, f"CASE WHEN net THEN concat('tier', tier) ELSE '{M.SEEN}' END",
-            amount="coalesce(cast(weight AS decimal(18,6)), 0)", flagged="weight IS NOT NULL", name="dispatcher_name",
-        ),
+        dispatch_entries(spine.dispatch),
         M.constant(pickup, "pickup", amount="amount"),
         M.constant(returned, "return"),
         M.constant(spine.side("bulky"), "bulky", amount="amount", name="dispatcher_name"),
@@ -58,8 +76,8 @@ def fleet_summary(book: Workbook, rules: Rules, spine: S.Spine | None = None, st
             ),
             M.quantity_of(*TIERS, alias="parcels"),
             *[M.quantity_of(t, alias=f"{t}_parcels") for t in TIERS],
-            M.amount_of(*TIERS, alias="total_weight"),
-            M.count_of("flagged", *TIERS, alias="weighed"),
+            M.amount_of(WEIGHED, alias="total_weight"),
+            M.count_of("flagged", WEIGHED, alias="weighed"),
             M.quantity_of("pickup", alias="pickup_parcels"),
             M.money_of("pickup", alias="pickup_payout"),
             M.quantity_of("return", alias="return_parcels"),

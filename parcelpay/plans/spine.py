@@ -26,6 +26,9 @@ from parcelpay.sources.workbook import Workbook
 #: More stored rows than these are not broadcast, however small their compressed files are.
 BROADCAST_ROWS = 100_000
 
+#: So many dispatchers of a waybill, besides the lowest and the highest, are looked up in a list.
+LISTED = 32
+
 
 @dataclass(frozen=True)
 class Spine:
@@ -57,6 +60,49 @@ def _side(df: DataFrame, source: str, amount: str = "0") -> DataFrame:
     )
 
 
+def _merged(df: DataFrame, rows: int) -> DataFrame:
+    return df.hint("merge") if rows > BROADCAST_ROWS else df
+
+
+def flag_taken(rows: DataFrame, sides: DataFrame, stage: Stage) -> DataFrame:
+    """The rows without their waybill and with ``taken``: returned or bulky by the same dispatcher, or picked up by anyone.
+
+    Both are looked up by the waybill, so dispatch is shuffled once. The stored table has one row per waybill, of bounded
+    size whatever a waybill repeats: the lowest and highest dispatcher of its return and bulky rows, and whether it was
+    picked up. Where more than two rows may hold dispatchers in between, these are found by a join of the sides; up to
+    ``LISTED`` are kept as a list, and only waybills with more of them cost dispatch a join by the pair.
+    """
+    keys = sides.where("waybill IS NOT NULL AND (source = 'pickup' OR dispatcher_key IS NOT NULL)")
+    keys = keys.selectExpr("waybill", "CASE WHEN source <> 'pickup' THEN dispatcher_key END AS owner")
+    held = keys.groupBy("waybill").agg(
+        F.min("owner").alias("low"),
+        F.max("owner").alias("high"),
+        F.expr("count(1) > count(owner) AS picked"),
+        F.expr("coalesce(low < high, false) AND count(owner) > 2 AS more"),
+    )
+    held = stage.put(held, "held", partition_by=("more",))
+    found = held.agg(F.expr("count(1) AS waybills"), F.expr("count_if(more) AS more")).first()
+    held_by = held.where("NOT more").selectExpr("waybill", "low", "high", "picked", "cast(NULL AS array<string>) AS owners")
+    hidden = "false"
+    if found["more"]:
+        several = held.where("more").drop("more")
+        spans = _merged(several.select("waybill", "low", "high"), found["more"])
+        between = keys.join(spans, "waybill").where("low < owner AND owner < high").select("waybill", "owner").distinct()
+        between = stage.put(between, "between")
+        nth = between.selectExpr("*", "row_number() OVER (PARTITION BY waybill ORDER BY owner) AS n").where(f"n <= {LISTED + 1}")
+        lists = stage.put(nth.groupBy("waybill").agg(F.collect_list("owner").alias("owners")), "lists")
+        held_by = held_by.unionByName(several.join(lists, "waybill", "left"))
+        long = lists.where(f"size(owners) > {LISTED}").select("waybill")
+        if not long.isEmpty():
+            pairs = stage.put(between.join(long, "waybill").selectExpr("owner AS dispatcher_key", "waybill"), "pairs")
+            rows, hidden = flag_matches(rows, pairs, PAIR, "__hidden", pairs.count() > BROADCAST_ROWS), "__hidden"
+    held_by = _merged(held_by.withColumnRenamed("waybill", "__waybill"), found["waybills"])
+    listed = "picked OR dispatcher_key = low OR dispatcher_key = high OR array_contains(owners, dispatcher_key)"
+    kept = [c for c in rows.columns if c not in ("waybill", "__hidden")]
+    joined = rows.join(held_by, F.col("waybill") == F.col("__waybill"), "left")
+    return joined.selectExpr(*kept, f"{hidden} OR coalesce({listed}, false) AS taken")
+
+
 def build(book: Workbook, rules: Rules, stage: Stage, shared: bool = False) -> Spine:
     """The spine of a workbook under the given rules; with ``shared`` its dispatch rows are stored for several reports.
 
@@ -73,18 +119,14 @@ def build(book: Workbook, rules: Rules, stage: Stage, shared: bool = False) -> S
     weight = _optional(dispatch, "weight", "double")
     rows = dispatch.selectExpr(*PAIR, "event_ts", "dispatcher_name", f"{weight} AS weight")
     rows = spread_blanks(rows, "waybill").selectExpr(*PAIR, "to_date(event_ts) AS day", "dispatcher_name", "weight")
-    pairs = sides.where("source IN ('return', 'bulky')").select(*PAIR)
-    picked = sides.where("source = 'pickup'").select("waybill")
-    long = {r["source"]: r["count"] for r in sides.groupBy("source").count().collect()}  # three rows at most
-    rows = flag_matches(rows, pairs, PAIR, "excluded", long.get("return", 0) + long.get("bulky", 0) > BROADCAST_ROWS)
-    rows = flag_matches(rows, picked, ["waybill"], "picked_up", long.get("pickup", 0) > BROADCAST_ROWS)
+    rows = flag_taken(rows, sides, stage)
     flagged = rows.selectExpr(
         "dispatcher_key",
         "dispatcher_name",
         "day",
         f"cast({delivery.weight_tier('weight', rules.weight_tiers)} AS int) AS tier",
         "weight",
-        "NOT excluded AND NOT picked_up AS net",
+        "NOT taken AS net",
     )
     return Spine(stage.put(flagged, "dispatch") if shared else flagged, sides)
 

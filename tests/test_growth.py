@@ -1,5 +1,7 @@
 """Work and shuffles that have to grow with the tables and no faster."""
 
+import pytest
+
 from parcelpay import Workbook
 from parcelpay.functions import text
 from parcelpay.plans import fleet, spine
@@ -39,6 +41,44 @@ def test_long_sides_are_merged_by_their_rows(spark, frame, monkeypatch):
     assert seen[0] == seen[100] and len(seen[0]) == 50 and len(gone) == 4  # w1 and w2 twice
 
 
+def _sides(spark, rows):
+    return spark.createDataFrame(rows, "source string, dispatcher_key string, waybill string")
+
+
+def test_dispatch_is_shuffled_once_for_both_overlaps(spark, monkeypatch, frame):
+    monkeypatch.setattr(spine, "BROADCAST_ROWS", 0)
+    found = spine.build(_book(spark, frame), RULES, Stage(spark)).dispatch
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and plan.count("Exchange hashpartitioning") == 2
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+@pytest.mark.parametrize("listed", [1, 32])
+def test_waybills_with_many_dispatchers_match_brute_force(spark, monkeypatch, listed, most):
+    monkeypatch.setattr(spine, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(spine, "LISTED", listed)
+    sides = [("return", str(d), "-") for d in range(0, 40, 2)] * 2 + [("bulky", str(d), "b") for d in (3, 5, 7)]
+    sides += [("return", "1", "one")] * 5 + [("bulky", "2", "two"), ("return", "9", "two"), ("bulky", "9", "two")]
+    sides += [("pickup", None, "p"), ("pickup", "4", "b2"), ("return", None, "x"), ("return", "6", None), ("pickup", "4", None)]
+    waybills = ["-", "b", "one", "two", "p", "b2", "x", "none", " 7"]
+    rows = [(str(d), w, i) for i, w in enumerate(waybills) for d in range(45)]
+    gone = {(d, w) for s, d, w in sides if s != "pickup" and d and w}
+    picked = {w for s, _, w in sides if s == "pickup" and w}
+    dispatch = spark.createDataFrame(rows, "dispatcher_key string, waybill string, n int")
+    got = spine.flag_taken(dispatch, _sides(spark, sides), Stage(spark))
+    assert got.columns == ["dispatcher_key", "n", "taken"]
+    expected = sorted((d, n, (d, w) in gone or w in picked) for d, w, n in rows)
+    assert sorted(map(tuple, got.collect())) == expected
+
+
+def test_a_task_sends_one_row_per_dispatcher_and_name(spark, frame):
+    entries = fleet.dispatch_entries(spine.build(_book(spark, frame), RULES, Stage(spark)).dispatch)
+    plan = entries._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert any("(dispatcher_key" in line for line in dealt) and not any("measure" in line for line in dealt)
+    assert {r.measure for r in entries.collect()} >= {"seen", "weighed"}
+
+
 def test_blank_waybills_stay_in_the_summary(spark, frame, monkeypatch):
     monkeypatch.setattr(spine, "BROADCAST_ROWS", 0)
     rows = fleet.fleet_summary(_book(spark, frame), RULES).collect()
