@@ -29,6 +29,9 @@ BROADCAST_ROWS = 100_000
 #: So many dispatchers of a waybill, besides the lowest and the highest, are looked up in a list.
 LISTED = 32
 
+#: Words of 64 bits in the filter that keeps most rows of other waybills out of a shuffle.
+WORDS = 1 << 17
+
 
 @dataclass(frozen=True)
 class Spine:
@@ -64,21 +67,32 @@ def _merged(df: DataFrame, rows: int) -> DataFrame:
     return df.hint("merge") if rows > BROADCAST_ROWS else df
 
 
+def near(keys: DataFrame, waybills: DataFrame) -> DataFrame:
+    """All keys of the given waybills, and some others; the more there are of those, the more of the others stay.
+
+    Every waybill sets one bit of a filter that has ``WORDS`` rows at most, so it may be broadcast at any size.
+    """
+    word, bit = f"pmod(xxhash64(waybill), {WORDS})", "cast(pmod(shiftright(xxhash64(waybill), 32), 64) AS int)"
+    bits = waybills.groupBy(F.expr(word).alias("__word")).agg(F.expr(f"bit_or(shiftleft(1L, {bit})) AS __bits"))
+    held = keys.join(F.broadcast(bits), F.expr(word) == F.col("__word"))
+    return held.where(f"getbit(__bits, {bit}) = 1").select(*keys.columns)
+
+
 def flag_taken(rows: DataFrame, sides: DataFrame, stage: Stage) -> DataFrame:
     """The rows without their waybill and with ``taken``: returned or bulky by the same dispatcher, or picked up by anyone.
 
     Both are looked up by the waybill, so dispatch is shuffled once. The stored table has one row per waybill, of bounded
     size whatever a waybill repeats: the lowest and highest dispatcher of its return and bulky rows, and whether it was
-    picked up. Where more than two rows may hold dispatchers in between, these are found by a join of the sides; up to
-    ``LISTED`` are kept as a list, and only waybills with more of them cost dispatch a join by the pair.
+    picked up; the highest is left out where it is the lowest. Where more than two rows may hold dispatchers in between,
+    these are found by a join of those rows of the sides that pass a filter of such waybills; up to ``LISTED`` are kept as a list, and only waybills with more of them cost dispatch a join by the pair.
     """
     keys = sides.where("waybill IS NOT NULL AND (source = 'pickup' OR dispatcher_key IS NOT NULL)")
     keys = keys.selectExpr("waybill", "CASE WHEN source <> 'pickup' THEN dispatcher_key END AS owner")
     held = keys.groupBy("waybill").agg(
         F.min("owner").alias("low"),
-        F.max("owner").alias("high"),
+        F.expr("nullif(max(owner), min(owner)) AS high"),
         F.expr("count(1) > count(owner) AS picked"),
-        F.expr("coalesce(low < high, false) AND count(owner) > 2 AS more"),
+        F.expr("high IS NOT NULL AND count(owner) > 2 AS more"),
     )
     held = stage.put(held, "held", partition_by=("more",))
     found = held.agg(F.expr("count(1) AS waybills"), F.expr("count_if(more) AS more")).first()
@@ -87,7 +101,8 @@ def flag_taken(rows: DataFrame, sides: DataFrame, stage: Stage) -> DataFrame:
     if found["more"]:
         several = held.where("more").drop("more")
         spans = _merged(several.select("waybill", "low", "high"), found["more"])
-        between = keys.join(spans, "waybill").where("low < owner AND owner < high").select("waybill", "owner").distinct()
+        known = near(keys, spans) if found["more"] > BROADCAST_ROWS else keys
+        between = known.join(spans, "waybill").where("low < owner AND owner < high").select("waybill", "owner").distinct()
         between = stage.put(between, "between")
         nth = between.selectExpr("*", "row_number() OVER (PARTITION BY waybill ORDER BY owner) AS n").where(f"n <= {LISTED + 1}")
         lists = stage.put(nth.groupBy("waybill").agg(F.collect_list("owner").alias("owners")), "lists")

@@ -71,6 +71,23 @@ def test_waybills_with_many_dispatchers_match_brute_force(spark, monkeypatch, li
     assert sorted(map(tuple, got.collect())) == expected
 
 
+def test_rows_of_other_waybills_stay_out_of_the_join_of_the_sides(spark, monkeypatch):
+    monkeypatch.setattr(spine, "BROADCAST_ROWS", 0)
+    stored, put = {}, Stage.put
+    monkeypatch.setattr(Stage, "put", lambda self, df, name, **more: (stored.update({name: df}), put(self, df, name, **more))[1])
+    several = [("return", str(d), f"s{w}") for w in range(20) for d in range(4)]
+    single = [("return", str(w), f"w{w}") for w in range(20_000)]
+    rows = spark.createDataFrame([(str(d), f"s{w}") for w in range(20) for d in range(5)], "dispatcher_key string, waybill string")
+    taken = spine.flag_taken(rows, _sides(spark, several + single), Stage(spark))
+    assert sorted(map(tuple, taken.collect())) == sorted((str(d), d < 4) for d in range(5) for _ in range(20))
+    assert stored["between"].count() == 40  # the two in the middle of each
+    assert "__bits" in stored["between"]._jdf.queryExecution().executedPlan().toString()
+    assert all(r.high is None for r in stored["held"].where("NOT more").collect())
+    keys = spark.createDataFrame([(w, k) for _, k, w in several + single], "waybill string, owner string")
+    kept = spine.near(keys, keys.where("waybill LIKE 's%'").select("waybill")).collect()
+    assert {tuple(r) for r in kept} >= {(w, k) for _, k, w in several} and len(kept) < 200
+
+
 def test_a_task_sends_one_row_per_dispatcher_and_name(spark, frame):
     entries = fleet.dispatch_entries(spine.build(_book(spark, frame), RULES, Stage(spark)).dispatch)
     plan = entries._jdf.queryExecution().executedPlan().toString()
