@@ -19,6 +19,7 @@ from parcelpay.operators import delivery, extras
 from parcelpay.operators.overlap import PAIR, flag_matches, spread_blanks
 from parcelpay.operators.penalties import route_shares
 from parcelpay.operators.unions import union_all
+from parcelpay.session import partitions_of
 from parcelpay.sources.stage import Stage
 from parcelpay.sources.workbook import Workbook
 
@@ -32,6 +33,9 @@ LISTED = 32
 #: Words of 64 bits in the filter that keeps most rows of other waybills out of a shuffle.
 WORDS = 1 << 17
 
+#: Shuffled size of the parts in which the keys of the sides are sorted by waybill; in memory they take about 15 times that.
+HELD_SIZE = "16m"
+
 
 @dataclass(frozen=True)
 class Spine:
@@ -94,7 +98,8 @@ def flag_taken(rows: DataFrame, sides: DataFrame, stage: Stage) -> DataFrame:
         F.expr("count(1) > count(owner) AS picked"),
         F.expr("high IS NOT NULL AND count(owner) > 2 AS more"),
     )
-    held = stage.put(held, "held", partition_by=("more",))
+    with partitions_of(stage.spark, HELD_SIZE):
+        held = stage.put(held, "held", partition_by=("more",))
     found = held.agg(F.expr("count(1) AS waybills"), F.expr("count_if(more) AS more")).first()
     held_by = held.where("NOT more").selectExpr("waybill", "low", "high", "picked", "cast(NULL AS array<string>) AS owners")
     hidden = "false"

@@ -88,6 +88,21 @@ def test_rows_of_other_waybills_stay_out_of_the_join_of_the_sides(spark, monkeyp
     assert {tuple(r) for r in kept} >= {(w, k) for _, k, w in several} and len(kept) < 200
 
 
+@pytest.mark.parametrize("own, expected", [("67108864b", "16m"), ("8m", "8m")])
+def test_keys_are_sorted_in_small_parts(spark, monkeypatch, own, expected):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before, seen, put = spark.conf.get(key), {}, Stage.put
+    monkeypatch.setattr(Stage, "put", lambda self, df, name, **more: (seen.update({name: spark.conf.get(key)}), put(self, df, name, **more))[1])
+    spark.conf.set(key, own)
+    try:
+        rows = spark.createDataFrame([("1", "w"), ("3", "w")], "dispatcher_key string, waybill string")
+        taken = spine.flag_taken(rows, _sides(spark, [("return", str(d), "w") for d in range(3)]), Stage(spark))
+        assert seen == {"held": expected, "between": own, "lists": own} and spark.conf.get(key) == own
+        assert sorted(map(tuple, taken.collect())) == [("1", True), ("3", False)]
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_a_task_sends_one_row_per_dispatcher_and_name(spark, frame):
     entries = fleet.dispatch_entries(spine.build(_book(spark, frame), RULES, Stage(spark)).dispatch)
     plan = entries._jdf.queryExecution().executedPlan().toString()
